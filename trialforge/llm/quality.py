@@ -144,7 +144,7 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.
         emit = np.einsum("cp,pkv->kcv", weight, hot) + np.array([[0.5, 1.0, 0.1], [0.5, 1.0, 1.0]])[None]
         emit /= emit.sum(axis=2, keepdims=True)
         emit[:, 0, 2] = np.minimum(emit[:, 0, 2], SLIP)
-        like = np.einsum("pkv,kcv->pc", hot, np.log(emit)) + np.log([1 - prior, prior])
+        like = np.einsum("pkv,kcv->pc", hot[:, :, 1:], np.log(emit[:, :, 1:])) + np.log([1 - prior, prior])
         new = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -500, 500)))
         if np.abs(new - post).max(initial=0) < 1e-9:
             break
