@@ -56,14 +56,14 @@ def _places(w: Column, size: int, step: int, where: Column) -> Column:
 
 
 def hits(docs: DataFrame, bench: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
-    """``uid, _id, n_words, at, size, item``: one row per confirmed window and item; one row with null ``at`` for a document with none."""
+    """``uid, _id, th, n_words, at, size, item``: one row per confirmed window and item; one row with null ``at`` for a document with none."""
     grams = windows(bench, n, item_col, bench_text)
     block = (n + 1) // 2
     full = grams.where(F.col("size") == n)
     short = grams.where(F.col("size") < n)
     blocks = full.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(n - block + 1)), lambda i: F.xxhash64(F.array_join(F.slice(_words_of(F.col("window")), i, block), " ")))).alias("h")).distinct()
     heads = short.select(F.element_at(_words_of(F.col("window")), 1).alias("h"), "size").distinct()
-    own = texts(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()).withColumn("w", tokens(F.col(TEXT))).drop(TEXT)
+    own = texts(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()).withColumn("th", F.xxhash64(TEXT)).withColumn("w", tokens(F.col(TEXT))).drop(TEXT)
     count = F.size("w")
     n_blocks = F.floor(count / block).cast("int")
     hashes = F.when(n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.struct((b * block).alias("b"), F.xxhash64(F.array_join(F.slice("w", b * block + 1, block), " ")).alias("h"))))
@@ -78,21 +78,24 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, id_col: str = "doc_id",
             first.setdefault(r["size"], []).append(r.h)
         own = own.withColumn("heads", F.array(*[_heads(size, known_heads) for size, known_heads in sorted(first.items())]) if first else F.array().cast("array<array<struct<at:int,size:int,window:string>>>"))
     else:
-        each = own.select("uid", F.explode(hashes).alias("x")).join(blocks.withColumnRenamed("h", "k"), F.col("x.h") == F.col("k"), "left_semi").groupBy("uid").agg(F.collect_list("x").alias("found"))
-        starts = own.select("uid", F.posexplode("w").alias("p", "word")).join(heads, F.col("word") == F.col("h")).select("uid", "p", "size").groupBy("uid").agg(F.collect_list(F.struct("p", "size")).alias("starts"))
-        own = own.join(each, "uid", "left").join(starts, "uid", "left")
+        # lists meet their rows by id and text, which no retry can change
+        of = [F.col(ID).alias("_of"), F.col("th").alias("_th")]
+        each = own.select(*of, F.explode(hashes).alias("x")).join(blocks.withColumnRenamed("h", "k"), F.col("x.h") == F.col("k"), "left_semi").groupBy("_of", "_th").agg(F.collect_set("x").alias("found"))
+        starts = own.select(*of, F.posexplode("w").alias("p", "word")).join(heads, F.col("word") == F.col("h")).select("_of", "_th", "p", "size").groupBy("_of", "_th").agg(F.collect_set(F.struct("p", "size")).alias("starts"))
+        for lists in (each, starts):
+            own = own.join(lists, own[ID].eqNullSafe(lists["_of"]) & (own["th"] == lists["_th"]), "left").drop("_of", "_th")
         own = own.withColumn("heads", F.array(F.transform(F.filter("starts", lambda x: x["p"] + x["size"] <= F.size("w")), lambda x: F.struct((x["p"] + 1).alias("at"), x["size"].alias("size"), F.array_join(F.slice("w", x["p"] + 1, x["size"]), " ").alias("window")))))
     # a block at words b .. b + block - 1 (from 0) lies in the windows that start at b + block - n .. b
     around = F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(F.greatest(x["b"] + 1 + block - n, F.lit(1)), x["b"] + 1))))
     inside = F.filter(around, lambda i: i + (n - 1) <= F.size("w"))
     candidates = F.concat(F.coalesce(_places(F.col("w"), n, 1, inside), F.array()), F.coalesce(F.flatten("heads"), F.array()))
-    rows = own.select("uid", ID, count.cast("long").alias("n_words"), F.explode_outer(candidates).alias("c"))
-    rows = rows.select("uid", ID, "n_words", F.col("c.at").alias("at"), F.col("c.size").alias("size"), F.col("c.window").alias("window"))
+    rows = own.select("uid", ID, "th", count.cast("long").alias("n_words"), F.explode_outer(candidates).alias("c"))
+    rows = rows.select("uid", ID, "th", "n_words", F.col("c.at").alias("at"), F.col("c.size").alias("size"), F.col("c.window").alias("window"))
     table = grams.withColumnRenamed("size", "gsize")
     if small:
         table = F.broadcast(table)  # at most one window per hash of the checked set and item
     joined = rows.join(table.withColumnRenamed("window", "gwindow"), (F.col("window") == F.col("gwindow")) & (F.col("size") == F.col("gsize")), "left")
-    return joined.select("uid", ID, "n_words", F.when(F.col("gsize").isNotNull(), F.col("at")).alias("at"), "size", "item")
+    return joined.select("uid", ID, "th", "n_words", F.when(F.col("gsize").isNotNull(), F.col("at")).alias("at"), "size", "item")
 
 
 def _heads(size: int, known: list[str]) -> Column:
@@ -108,7 +111,7 @@ def report(docs: DataFrame, bench: DataFrame, n: int = N, id_col: str = "doc_id"
     """
     found = hits(docs, bench, n, id_col, text_col, item_col, bench_text, set_limit)
     out = found.groupBy("uid").agg(
-        F.first(ID).alias(id_col), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi"))))).alias("marks"), F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.col("item").cast("string")))).alias("items")
+        F.first(ID).alias(id_col), F.first("th").alias("text_hash"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi"))))).alias("marks"), F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.col("item").cast("string")))).alias("items")
     )
     merged = F.aggregate(
         "marks", F.array().cast("array<struct<lo:int,hi:int>>"),
@@ -116,7 +119,7 @@ def report(docs: DataFrame, bench: DataFrame, n: int = N, id_col: str = "doc_id"
     )
     out = out.withColumn("spans", F.transform(merged, lambda x: F.struct((x["lo"] - 1).alias("low"), (x["hi"] - 1).alias("high"))))
     out = out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["high"] - x["low"]))
-    return out.select("uid", id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans")
+    return out.select("uid", id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "text_hash")
 
 
 def clean(docs: DataFrame, bench: DataFrame, n: int = N, mode: str = "both", id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", share: int = 20) -> DataFrame:
@@ -127,8 +130,8 @@ def clean(docs: DataFrame, bench: DataFrame, n: int = N, mode: str = "both", id_
     """
     if mode not in ("documents", "spans", "both"):
         raise ValueError(f"unknown mode {mode}")
-    found = report(docs, bench, n, id_col, text_col, item_col, bench_text, share).where("n_hit > 0").select(F.col("uid").alias("_uid"), F.col("contaminated").alias("_bad"), F.col("spans").alias("_spans"))
-    out = docs.withColumn("_uid", F.monotonically_increasing_id()).join(found, "_uid", "left")
+    found = report(docs, bench, n, id_col, text_col, item_col, bench_text, share).where("n_hit > 0").select(F.col(id_col).alias("_of"), F.col("text_hash").alias("_th"), F.col("contaminated").alias("_bad"), F.col("spans").alias("_spans")).dropDuplicates(["_of", "_th"])
+    out = docs.join(found, docs[id_col].eqNullSafe(F.col("_of")) & (F.xxhash64(docs[text_col]) == F.col("_th")), "left")
     if mode != "spans":
         out = out.where(~F.coalesce("_bad", F.lit(False)))
     if mode != "documents":
