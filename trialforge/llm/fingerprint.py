@@ -17,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 K, SHINGLE = 128, 5
+#: Most buckets whose first ids are broadcast (16 bytes each); more are joined by shuffle.
+BROADCAST_BUCKETS = 500_000
 
 
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
@@ -110,7 +114,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if start is None:
         start = low
     firsts = firsts.select("b", F.coalesce("next", F.lit(start)).alias("next"))
-    heads = own.join(firsts.select(F.col("next").alias("o"), F.col("b").alias("to")), "o").groupBy("to").agg(F.min("t").alias("next_text"))
+    wanted = cut(firsts.select(F.col("next").alias("o"), F.col("b").alias("to")))
+    if wanted.count() <= BROADCAST_BUCKETS:
+        wanted = F.broadcast(wanted)
+    heads = own.join(wanted, "o").groupBy("to").agg(F.min("t").alias("next_text"))
     w = Window.partitionBy("b").orderBy("o", "t")
     rows = own.repartition("b").sortWithinPartitions("b", "o", "t").withColumn("sketch", sketch(F.col("t"), k, shingle))
     rows = rows.withColumn("nt", F.lead("t").over(w)).withColumn("ns", F.lead("sketch").over(w))
