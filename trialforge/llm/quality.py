@@ -63,6 +63,12 @@ def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class Slice:
     """Words, statistics and votes of the texts of a slice."""
 
@@ -77,7 +83,7 @@ class Slice:
         self.bare = [x.strip(".,;:!?\"'()*#%&$|") for x in names]
         bar, loud, plain = (np.array([f(x) for x in names], bool) for f in (lambda x: x == "|", lambda x: x.endswith("!!"), lambda x: x.strip(".,;:!?\"'()-").isalnum()))
         # distinct words of each text
-        pair = np.unique(np.repeat(np.arange(len(self.n), dtype=np.int64), self.n) << 32 | w.codes)
+        pair = _distinct(np.repeat(np.arange(len(self.n), dtype=np.int64), self.n) << 32 | w.codes)
         self.row, self.code = pair >> 32, (pair & 0xFFFFFFFF).astype(np.int64)
         self.kinds = np.bincount(self.row, minlength=len(self.n))
         letters = _sums(_LETTER[raw], w.offsets)
@@ -110,10 +116,15 @@ class Slice:
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """Row and hashed feature, each pair once."""
         top = np.uint64((1 << BITS) - 1)
-        at, out = [0], []
+        at, out, known = [0], [], {}
         for x in self.bare:
             out.append(xxhash.xxh3_64_intdigest(b"w" + x.encode()))
-            out += [xxhash.xxh3_64_intdigest(b"p" + x[:m].encode()) for m in _SPAN if len(x) > m]
+            for m in _SPAN:
+                if len(x) > m:
+                    y = x[:m]
+                    if y not in known:
+                        known[y] = xxhash.xxh3_64_intdigest(b"p" + y.encode())
+                    out.append(known[y])
             at.append(len(out))
         own = (np.array(out, np.uint64) & top).astype(np.int64)
         pick, sizes = flat.gather(np.array(at, np.int64), self.code)
@@ -123,7 +134,7 @@ class Slice:
             known = np.array([xxhash.xxh3_64_intdigest(f"s{name}{j}".encode()) for j in range(21)], np.uint64) & top
             rows.append(np.arange(len(s), dtype=np.int64))
             cols.append(known[step].astype(np.int64))
-        pair = np.unique(np.concatenate(rows) << 32 | np.concatenate(cols))
+        pair = _distinct(np.concatenate(rows) << 32 | np.concatenate(cols))
         return pair >> 32, pair & 0xFFFFFFFF
 
 
@@ -161,6 +172,9 @@ def fit(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, rounds: int = 20
         return w, -1.0
     share = min(max(target.mean(), 0.02), 0.98)
     mass = (target / share + (1 - target) / (1 - share)) / 2
+    # a feature whose gradient cannot exceed the shrinkage keeps weight zero
+    able = (np.bincount(cols, weights=mass[rows], minlength=1 << BITS) / n > l1)[cols]
+    rows, cols = rows[able], cols[able]
     seen, seen_b = np.zeros(1 << BITS), 0.0
     for _ in range(rounds):
         z = np.bincount(rows, weights=w[cols], minlength=n) + b
@@ -202,7 +216,7 @@ def _listed(docs: DataFrame, labels: DataFrame, id_col: str, toxic_col: str) ->
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", carry: tuple[str, ...] = (), trained: int = TRAINED) -> DataFrame:
-    """``id, *carry, n_words, weak_junk, weak_toxic, junk, toxic, kept`` per row: posteriors of the votes, scores of the trained scorer, and the decision."""
+    """``id, *carry, n_words, junk, toxic, kept`` per row: the scores of the trained scorer and the decision."""
     own = texts(docs, id_col, text_col)
     listed, beginnings = _listed(own, labels, id_col, toxic_col) if labels is not None else (set(), set())
 
@@ -237,7 +251,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     targets = [np.array([weak[v][k] for v in got.column("votes").to_pylist()], float) for k in (0, 1)]
     (w0, b0), (w1, b1) = fit(rows, cols, targets[0]), fit(rows, cols, targets[1])
     model = docs.sparkSession.sparkContext.broadcast((w0.astype(np.float32), w1.astype(np.float32)))  # 2 ** BITS weights each
-    names = [id_col, *carry, "n_words", "weak_junk", "weak_toxic", "junk", "toxic", "kept"]
+    names = [id_col, *carry, "n_words", "junk", "toxic", "kept"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,9 +260,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
                 rows, cols = s.features()
                 both = [1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[cols], minlength=len(s.n)) + b, -50, 50))) for w, b in zip(model.value, (b0, b1), strict=True)]
                 both = [np.where(s.n > 0, x, 0.0) for x in both]
-                told = [weak.get("".join(map(str, v)), (0.0, 0.0)) for v in s.votes(listed, beginnings).tolist()]
-                more = [pa.array(s.n.astype(np.int64)), pa.array([x for x, _ in told], pa.float64()), pa.array([x for _, x in told], pa.float64()), *map(pa.array, both), pa.array((both[0] < 0.5) & (both[1] < 0.5))]
+                more = [pa.array(s.n.astype(np.int64)), *map(pa.array, both), pa.array((both[0] < 0.5) & (both[1] < 0.5))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(k) for k in range(2, part.num_columns)), *more], names=names)
 
-    fields = [T.StructField(id_col, kind), *(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[-5:-1]), T.StructField("kept", T.BooleanType())]
+    fields = [T.StructField(id_col, kind), *(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[-3:-1]), T.StructField("kept", T.BooleanType())]
     return texts(docs, id_col, text_col, *[docs[c].alias(f"_c{k}") for k, c in enumerate(carry)]).mapInArrow(score, T.StructType(fields))
