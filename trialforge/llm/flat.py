@@ -8,6 +8,7 @@ not grow with the table; one text larger than the bound is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text handled at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Separators of words ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, dtype=bool)
@@ -76,6 +77,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Gives freed memory back: workers are reused, and what one stage freed would count in the next."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``limit`` bytes of text each, one row at least."""
     if not batch.num_rows:
@@ -86,6 +97,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         to = max(at + 1, int(np.searchsorted(total, total[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:

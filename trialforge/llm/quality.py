@@ -261,7 +261,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
                 both = [1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[cols], minlength=len(s.n)) + b, -50, 50))) for w, b in zip(model.value, (b0, b1), strict=True)]
                 both = [np.where(s.n > 0, x, 0.0) for x in both]
                 more = [pa.array(s.n.astype(np.int64)), *map(pa.array, both), pa.array((both[0] < 0.5) & (both[1] < 0.5))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(k) for k in range(2, part.num_columns)), *more], names=names)
+                rest = iter(range(2, part.num_columns))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(1 if c == text_col else next(rest)) for c in carry), *more], names=names)
 
     fields = [T.StructField(id_col, kind), *(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[-3:-1]), T.StructField("kept", T.BooleanType())]
-    return texts(docs, id_col, text_col, *[docs[c].alias(f"_c{k}") for k, c in enumerate(carry)]).mapInArrow(score, T.StructType(fields))
+    return texts(docs, id_col, text_col, *[docs[c].alias(f"_c{k}") for k, c in enumerate(carry) if c != text_col]).mapInArrow(score, T.StructType(fields))
