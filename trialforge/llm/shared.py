@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ID, TEXT = "_id", "_text"
+#: Most bytes of an Arrow batch sent to a Python worker; a single longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -44,7 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Id and text under internal names, so that no other column of the table can clash."""
+    """Id and text under internal names, so that no other column of the table can clash.
+
+    Arrow batches of the session are bounded in bytes from here on: by rows alone, a batch of long texts would be held twice, in the JVM and the worker.
+    """
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select(docs[id_col].alias(ID), docs[text_col].alias(TEXT), *more)
 
 
