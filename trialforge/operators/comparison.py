@@ -99,3 +99,81 @@ def anova_rm(cells: DataFrame, dv: str, within: str, subject: str) -> DataFrame:
     n, k = F.col("n"), F.lit(levels)
     s = s.select((n * k * F.col("vl")).alias("ss_effect"), (n * k * F.col("vs")).alias("ss_subject"), (n * k * (F.col("vt") - F.col("vl") - F.col("vs"))).alias("ss_error"), (k - 1).cast("long").alias("df1"), ((n - 1) * (k - 1)).cast("long").alias("df2"))
     return s.withColumn("f", F.try_divide(F.col("ss_effect") / F.col("df1"), F.col("ss_error") / F.col("df2"))).withColumn("ng2", F.try_divide("ss_effect", F.col("ss_effect") + F.col("ss_error") + F.col("ss_subject")))
+
+
+def anova_mixed(cells: DataFrame, dv: str, between: str, within: str, subject: str) -> DataFrame:
+    """One factor between subjects, one within, over complete subjects (cells averaged first): ``source, ss, df1, df2, f, np2``.
+
+    Every sum of squares is a difference of sums s^2 / n of one grouping, so no
+    means are joined back to the rows.
+    """
+    c = cells.groupBy(subject, between, within).agg(F.avg(dv).alias("_y"))
+    k = c.select(within).distinct().count()
+    whole = c.groupBy(subject).agg(F.count("*").alias("_k")).where(F.col("_k") == k).select(subject)
+    c = c.join(whole, subject)
+
+    def part(name: str, *by: str) -> DataFrame:
+        g = c.groupBy(*by).agg(F.sum("_y").alias("_s"), F.count("*").alias("_n"))
+        return g.agg(F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("q"), F.count("*").alias("m")).withColumn("part", F.lit(name))
+
+    parts = part("all").unionByName(part("g", between)).unionByName(part("l", within)).unionByName(part("gl", between, within)).unionByName(part("s", subject)).unionByName(part("y", subject, within))
+    row = parts.groupBy().agg(*[F.max(F.when(F.col("part") == p, F.col(v))).alias(f"{v}_{p}") for p in ("all", "g", "l", "gl", "s", "y") for v in ("q", "m")])
+    q, m = (lambda p: F.col(f"q_{p}")), (lambda p: F.col(f"m_{p}"))
+    ss_b, ss_s, ss_w = q("g") - q("all"), q("s") - q("g"), q("l") - q("all")
+    ss_i = q("gl") - q("g") - q("l") + q("all")
+    ss_e = q("y") - q("s") - q("gl") + q("g")
+    df_b, df_s, df_w = m("g") - 1, m("s") - m("g"), m("l") - 1
+
+    def line(name: str, ss, df1, err, df2):
+        return F.struct(F.lit(name).alias("source"), ss.alias("ss"), df1.alias("df1"), df2.alias("df2"), F.try_divide(ss / df1, err / df2).alias("f"), F.try_divide(ss, ss + err).alias("np2"))
+
+    lines = F.array(line("between", ss_b, df_b, ss_s, df_s), line("within", ss_w, df_w, ss_e, df_s * df_w), line("interaction", ss_i, df_b * df_w, ss_e, df_s * df_w))
+    return row.select(F.explode(lines).alias("r")).select("r.*")
+
+
+def depth_maxima(t: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Largest |t| at each depth of any cluster, counted from its head and from its tail."""
+    head, tail = np.zeros(len(t)), np.zeros(len(t))
+    for flags in (t > threshold, t < -threshold):
+        for s, e in mask_runs(flags):
+            values = np.abs(t[s:e])
+            head[: e - s] = np.maximum(head[: e - s], values)
+            tail[: e - s] = np.maximum(tail[: e - s], values[::-1])
+    return head, tail
+
+
+def step_down(observed: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Troendle's step-down: from the largest down, each against the maxima of those not yet tested; p never falls."""
+    order = np.argsort(-observed, kind="stable")
+    rest = np.maximum.accumulate(null[:, order][:, ::-1], axis=1)[:, ::-1]
+    p = np.maximum.accumulate((rest >= observed[order]).mean(axis=0))
+    out = np.empty(len(p))
+    out[order] = p
+    return out
+
+
+def cluster_depth(a: np.ndarray, b: np.ndarray, frame: DataFrame, threshold: float, seed: int = 42) -> DataFrame:
+    """Cluster-depth test: a p-value for each point of each observed cluster, the larger of its head's and its tail's.
+
+    Permutations in ``frame.perm`` run on the workers; two values a depth and
+    permutation come back, which the axis and the permutations bound.
+    """
+    rows, na = np.vstack([a, b]), len(a)
+    spark = frame.sparkSession
+    shared = spark.sparkContext.broadcast(rows)  # one experiment's matrix
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = shared.value
+        for part in parts:
+            got = [depth_maxima(welch_t(*np.split(x[np.random.default_rng([seed, int(k)]).permutation(len(x))], [na])), threshold) for k in part["perm"]]
+            yield pd.DataFrame({"head": [h.tolist() for h, _ in got], "tail": [t.tolist() for _, t in got]})
+
+    null = frame.select("perm").mapInPandas(run, "head array<double>, tail array<double>").toPandas()
+    heads, tails = (np.array(null[c].tolist()) for c in ("head", "tail"))
+    t, out = welch_t(a, b), []
+    for sign in (1, -1):
+        for s, e in mask_runs(sign * t > threshold):
+            y, n = np.abs(t[s:e]), e - s
+            p = np.maximum(step_down(y, heads[:, :n]), step_down(y[::-1], tails[:, :n])[::-1])
+            out += [(sign, s, e - 1, s + i, float(t[s + i]), float(p[i])) for i in range(n)]
+    return spark.createDataFrame(out, "sign int, start int, stop int, time_idx int, t double, p double")

@@ -102,3 +102,27 @@ def jump_corrected(samples: DataFrame, jumps: DataFrame, key: str, idx: str, val
     w = Window.partitionBy(key).orderBy("_i", "_k").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("_s", F.sum("_c").over(w)).where("_k = 1")
     return both.select(key, F.col("_i").alias(idx), F.col("_v").alias(value), (F.col("_v") - F.col("_s")).alias("corrected"))
+
+
+def rolling_runs(trials: DataFrame, trial: str, width: int, x: str = "x", threshold: float = 3.0, center: str = "median", scale: str = "mad") -> DataFrame:
+    """Runs beyond the centre +- threshold x scale of the window around each sample: ``trial, direction, start, stop``.
+
+    A window of ``width`` samples starts width // 2 before its sample; beyond
+    an end it runs back along the trial, the end sample repeated.
+    """
+    centers = {"median": vec.median, "mean": vec.mean, "zero": lambda c: F.lit(0.0)}
+    scales = {"mad": vec.mad, "std": vec.std, "one": lambda c: F.lit(1.0)}
+    if center not in centers or scale not in scales or width < 1:
+        raise ValueError("unknown center or scale, or an empty window")
+    n = F.size(x)
+
+    def at(j):
+        j = F.pmod(j, 2 * n)
+        return F.get(x, F.when(j < n, j).otherwise(2 * n - 1 - j).cast("int"))
+
+    steps = F.sequence(F.lit(0), F.lit(width - 1))
+    windows = F.transform(x, lambda v, i: F.struct(v.alias("v"), F.transform(steps, lambda k: at(i - width // 2 + k)).alias("w")))
+    long = trials.select(trial, F.posexplode(windows).alias("i", "e")).select(trial, "i", "e.v", "e.w")
+    long = long.select(trial, "i", "v", centers[center](F.col("w")).alias("_c"), scales[scale](F.col("w")).alias("_s"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
+    out = runs(long, [trial, "sign"], "i", F.col("sign") * (F.col("v") - F.col("_c")) > threshold * F.col("_s"))
+    return out.select(trial, F.when(F.col("sign") > 0, "positive").otherwise("negative").alias("direction"), "start", "stop")

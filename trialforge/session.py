@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +18,11 @@ def ensure_workers(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         own["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; where that is unset (one machine), below a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_path, "own", None)
+    if not at:
+        at = shared_path.own = f"file://{tempfile.mkdtemp(prefix='trialforge-')}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +48,23 @@ def event_layer(samples: DataFrame, onsets: list[float], freq: float, taps: int,
 def composed(base: Column, floor: float, event: Column, noise: Column, artifact: Column) -> Column:
     """clean = (B - floor) (E + D) + B, times the artifacts, plus noise."""
     return ((base - floor) * event + base) * artifact + noise
+
+
+def double_exp_kernel(t: Column, amplitude: float, rise: float, decay: float) -> Column:
+    """Difference of two exponentials, scaled to its peak."""
+    top = math.log(decay / rise) * rise * decay / (decay - rise)
+    scale = amplitude / (math.exp(-top / decay) - math.exp(-top / rise))
+    return F.when(t >= 0, scale * (F.exp(-t / decay) - F.exp(-t / rise))).otherwise(0.0)
+
+
+def smooth_trapezoid_kernel(t: Column, amplitude: float, rise: float, hold: float, fall: float) -> Column:
+    """Smooth rise, plateau and smooth fall."""
+    up, down = smootherstep(t / rise), smootherstep((rise + hold + fall - t) / fall)
+    shape = F.when(t < 0, 0.0).when(t < rise, up).when(t < rise + hold, 1.0).when(t < rise + hold + fall, down).otherwise(0.0)
+    return amplitude * shape
+
+
+def half_hann(x: Column) -> Column:
+    """Rises from 0 at x = 0 to 1 at x = 1."""
+    y = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    return 0.5 * (1 - F.cos(math.pi * y))
