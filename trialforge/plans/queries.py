@@ -19,6 +19,7 @@ from .. import sim
 from ..functions import vec
 from ..kernels import signal as kernels
 from ..operators import comparison, peaks, recording, relational, trials, windowing
+from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,10 +159,18 @@ def spearman_by_group(spark, d):
     return recording.spearman(read(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice").select("l_suppkey", r("rho").alias("rho"), "n")
 
 
+_TRACES = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
 @query("SELECT l_orderkey, l_linenumber, source, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem WHERE l_suppkey <= 5) UNPIVOT (value FOR source IN (l_quantity, l_extendedprice, l_discount))")
 def unpivot_traces(spark, d):
-    own = read(spark, d, "lineitem").where("l_suppkey <= 5")
-    return own.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice", "l_discount"], "source", "value")
+    """The probe of five suppliers that its SQL fixes; ``export_long_traces`` is the whole table."""
+    return sinks.long(read(spark, d, "lineitem").where("l_suppkey <= 5"), ["l_orderkey", "l_linenumber"], _TRACES)
+
+
+@query("SELECT l_orderkey, l_linenumber, source, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem) UNPIVOT INCLUDE NULLS (value FOR source IN (l_quantity, l_extendedprice, l_discount))")
+def export_long_traces(spark, d):
+    return sinks.long(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], _TRACES)
 
 
 # -- events and trials ----------------------------------------------------------
