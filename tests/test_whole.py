@@ -3,6 +3,7 @@
 from collections import Counter
 
 import __spark_entry__
+from trialforge.operators import trials
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,3 +16,12 @@ def test_long_traces_of_every_supplier(spark):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").toPandas()
     want = Counter((o, n, c, v) for c in ("l_quantity", "l_extendedprice", "l_discount") for o, n, v in zip(rows.l_orderkey, rows.l_linenumber, rows[c], strict=True))
     assert rows.l_suppkey.max() > 5 and Counter(tuple(r) for r in run(spark, "export_long_traces").collect()) == want
+
+
+def test_wide_form_has_every_point(spark):
+    want = {r.vec_id: (r.label, *map(float, r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = run(spark, "to_wide_axis")
+    assert got.columns == ["vec_id", "label"] + [f"t_{k}" for k in range(1, 65)]
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+    ragged = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0]), (2, None)], "k int, x array<double>")
+    assert sorted(map(tuple, trials.to_wide(ragged, ["k"]).collect())) == [(0, 1.0, None, None), (1, 1.0, 2.0, 3.0), (2, None, None, None)]

@@ -34,9 +34,11 @@ def to_long(trials: DataFrame, keep: list[str], x: str = "x") -> DataFrame:
     return trials.select(*keep, F.posexplode(x).alias("time_idx", "signal"))
 
 
-def to_wide(trials: DataFrame, keep: list[str], n: int, x: str = "x", prefix: str = "t") -> DataFrame:
-    """One column per point, ``<prefix>_1`` to ``<prefix>_n``."""
-    return trials.select(*keep, *[F.get(x, F.lit(k)).alias(f"{prefix}_{k + 1}") for k in range(n)])
+def to_wide(trials: DataFrame, keep: list[str], n: int | None = None, x: str = "x", prefix: str = "t") -> DataFrame:
+    """One column per point, ``<prefix>_1`` to ``<prefix>_n``; without n the whole axis, the longest trial's, found by one aggregate."""
+    if n is None:
+        n = trials.agg(F.max(F.size(x))).first()[0] or 0
+    return trials.select(*keep, *[F.get(x, F.lit(k)).alias(f"{prefix}_{k + 1}") for k in range(max(n, 0))])
 
 
 def collapse(trials: DataFrame, by: list[str], x: str = "x") -> DataFrame:

@@ -299,9 +299,15 @@ def to_long(spark, d):
 
 @query(X + " SELECT vec_id, label, " + ", ".join(f"x[{k}] AS t_{k}" for k in range(1, 9)) + " FROM x")
 def to_wide(spark, d):
+    """The first eight points, which its SQL fixes; ``to_wide_axis`` has them all."""
     return trials.to_wide(matrix(spark, d), ["vec_id", "label"], 8)
 
 
+@query(X + " SELECT vec_id, label, " + ", ".join(f"x[{k}] AS t_{k}" for k in range(1, 65)) + " FROM x")
+def to_wide_axis(spark, d):
+    return trials.to_wide(matrix(spark, d), ["vec_id", "label"])
+
+
 @query(X + ", a AS (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: (x[i] + x[i + 1]) / 2)) AS a, list_sum(list_transform(range(17, 32), lambda i: (x[i] + x[i + 1]) / 2)) AS b, list_sum(list_transform(range(1, 64), lambda i: (greatest(x[i], 0) + greatest(x[i + 1], 0)) / 2)) AS c FROM x) SELECT vec_id, round(a, 6) + 0.0 AS auc_full, round(b, 6) + 0.0 AS auc_window, round(c, 6) + 0.0 AS auc_positive FROM a")
 def area_under_curve(spark, d):
     t = matrix(spark, d)
