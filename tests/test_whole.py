@@ -2,7 +2,11 @@
 
 from collections import Counter
 
+import numpy as np
+import pytest
+
 import __spark_entry__
+from trialforge import sim
 from trialforge.operators import trials
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +29,18 @@ def test_wide_form_has_every_point(spark):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
     ragged = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0]), (2, None)], "k int, x array<double>")
     assert sorted(map(tuple, trials.to_wide(ragged, ["k"]).collect())) == [(0, 1.0, None, None), (1, 1.0, 2.0, 3.0), (2, None, None, None)]
+
+
+def test_event_kernels_keep_their_tails(spark):
+    t = np.arange(20_000) / 20
+    g = 0.02 * (t / 2) ** 2 * np.exp(2 - t)
+    taps = np.flatnonzero(g > 1e-4 * g.max())[-1] + 1
+    assert sim.kernel_taps(spark, 20, sim.gamma_kernel) == taps and 15 < taps / 20 < 16
+    want = np.zeros(600)
+    for first in (40, 70, 201):
+        want[first : first + taps] += g[:taps]
+    got = np.array([r.event for r in run(spark, "sim_event_layer").orderBy("idx").collect()])
+    assert np.abs(got - want).max() < 1e-8 and got[201 + 200] > 0
+    assert sim.kernel_taps(spark, 20, lambda t: sim.exp_kernel(t, -1.0, 1.0)) == 185
+    with pytest.raises(ValueError):
+        sim.kernel_taps(spark, 20, lambda t: sim.exp_kernel(t, 1.0, 500.0))

@@ -37,9 +37,23 @@ def smootherstep(x: Column) -> Column:
     return x * x * x * (x * (x * 6 - 15) + 10)
 
 
-def event_layer(samples: DataFrame, onsets: list[float], freq: float, taps: int, kernel) -> DataFrame:
-    """Sum of kernels at onsets: each onset (snapped to the sample at or after it) adds ``taps`` values; only touched samples are aggregated."""
+def kernel_taps(spark: SparkSession, freq: float, kernel, cutoff: float = 1e-4, longest: float = 1000.0) -> int:
+    """Samples of a kernel until it stays at or below ``cutoff`` of its peak; ValueError if it does not within ``longest`` seconds."""
+    n = max(1, round(longest * freq))
+    k = spark.range(n).select(F.col("id").alias("k"), F.abs(kernel(F.col("id") / freq)).alias("m"))
+    top = k.agg(F.max_by(F.struct("k", "m"), F.struct("m", -F.col("k"))).alias("top")).first().top
+    if top.m == 0:
+        return 1
+    last = k.where((F.col("k") >= top.k) & (F.col("m") > cutoff * top.m)).agg(F.max("k")).first()[0]
+    if last == n - 1:
+        raise ValueError(f"the kernel does not decay to {cutoff} of its peak in {longest} s")
+    return last + 1
+
+
+def event_layer(samples: DataFrame, onsets: list[float], freq: float, taps: int | None, kernel) -> DataFrame:
+    """Sum of kernels at onsets: each onset (snapped to the sample at or after it) adds ``taps`` values, or with None those of ``kernel_taps``; only touched samples are aggregated."""
     spark = samples.sparkSession
+    taps = kernel_taps(spark, freq, kernel) if taps is None else taps
     starts = spark.createDataFrame([(float(o),) for o in onsets], "onset double").select(F.ceil(F.col("onset") * freq).alias("first"))
     each = starts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(taps - 1)))).select((F.col("first") + F.col("k")).alias("idx"), kernel(F.col("k") / freq).alias("v"))
     return samples.join(each.groupBy("idx").agg(F.sum("v").alias("event")), "idx", "left").withColumn("event", F.coalesce("event", F.lit(0.0)))
