@@ -31,6 +31,13 @@ def test_wide_form_has_every_point(spark):
     assert sorted(map(tuple, trials.to_wide(ragged, ["k"]).collect())) == [(0, 1.0, None, None), (1, 1.0, 2.0, 3.0), (2, None, None, None)]
 
 
+def test_long_form_of_every_trial(spark):
+    own = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    want = {(r.vec_id, k, float(v)) for r in own for k, v in enumerate(r.embedding)}
+    assert {tuple(r) for r in run(spark, "to_long_trials").collect()} == want and len({r.label for r in own}) > 1
+    assert {r.vec_id for r in run(spark, "filter_trials").collect()} == {r.vec_id for r in own if r.label == 3}
+
+
 def test_event_kernels_keep_their_tails(spark):
     t = np.arange(20_000) / 20
     g = 0.02 * (t / 2) ** 2 * np.exp(2 - t)

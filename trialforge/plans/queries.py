@@ -294,9 +294,20 @@ for _how, _sql in _NORM.items():
 
 @query(L + " SELECT vec_id, time_idx, v AS signal FROM l WHERE label = 3")
 def to_long(spark, d):
+    """The trials of one label, which its SQL fixes; ``to_long_trials`` has them all."""
     return trials.to_long(trials.filter_rows(matrix(spark, d), F.col("label") == 3), ["vec_id"])
 
 
+@query(L + " SELECT vec_id, time_idx, v AS signal FROM l")
+def to_long_trials(spark, d):
+    return trials.to_long(matrix(spark, d), ["vec_id"])
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label = 3")
+def filter_trials(spark, d):
+    return trials.filter_rows(matrix(spark, d), F.col("label") == 3).select("vec_id", "label")
+
+
 @query(X + " SELECT vec_id, label, " + ", ".join(f"x[{k}] AS t_{k}" for k in range(1, 9)) + " FROM x")
 def to_wide(spark, d):
     """The first eight points, which its SQL fixes; ``to_wide_axis`` has them all."""
