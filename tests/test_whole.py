@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__
 from trialforge import sim
+from trialforge.llm import quality
+from trialforge.llm.shared import texts
 from trialforge.operators import trials
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +53,21 @@ def test_event_kernels_keep_their_tails(spark):
     assert sim.kernel_taps(spark, 20, lambda t: sim.exp_kernel(t, -1.0, 1.0)) == 185
     with pytest.raises(ValueError):
         sim.kernel_taps(spark, 20, lambda t: sim.exp_kernel(t, 1.0, 500.0))
+
+
+def test_every_toxic_word_is_listed(spark):
+    words = {f"{k:04d}zz" for k in range(6000)}
+    docs = spark.createDataFrame([(i, " ".join(sorted(words))) for i in range(5)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, toxic int")
+    listed, beginnings = quality._listed(texts(docs, "doc_id", "text"), labels, "doc_id", "toxic")
+    assert listed == words and beginnings == {x[:m] for x in words for m in (4, 5)}
+
+
+def test_quality_returns_the_posteriors_of_the_votes(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = run(spark, "op5_quality_classifier").toPandas().set_index("doc_id").sort_index()
+    assert got.columns.tolist() == ["n_words", "weak_junk", "weak_toxic", "junk", "toxic", "kept"] and got[["weak_junk", "weak_toxic"]].stack().between(0, 1).all()
+    insulting = [r.doc_id for r in docs.collect() if "idiot" in (r.text or "").lower().split()]
+    assert insulting and (got.weak_toxic[insulting] > 0.5).all() and got.weak_toxic.median() < 0.5
+    alone = quality.classify(docs, labels).toPandas().set_index("doc_id").sort_index()
+    assert alone.equals(got.drop(columns=["weak_junk", "weak_toxic"]))

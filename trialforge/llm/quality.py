@@ -38,7 +38,7 @@ LABELLED, TRAINED, BITS = 20_000, 12_000, 18
 #: Most that a labeller may be estimated to vote bad on good documents.
 SLIP = 0.005
 #: A listed word occurs in so many toxic labelled rows, and in toxic ones in this share.
-LISTED, SHARE, LISTS = 5, 0.95, 5_000
+LISTED, SHARE = 5, 0.95
 # Words that are insults wherever they stand.
 INSULTS = ["idiot", "moron", "stupid", "loser", "pathetic", "scum", "trash", "worthless", "disgusting", "clown"]
 JUNK = ["repeats", "capitals", "symbols", "bars", "variety", "shouting", "plain"]
@@ -211,12 +211,12 @@ def _listed(docs: DataFrame, labels: DataFrame, id_col: str, toxic_col: str) ->
                 yield pa.RecordBatch.from_arrays([pa.array(list(spelled), pa.string()), pa.array(np.bincount(pair & 0xFFFFFFFF, minlength=len(spelled)).astype(np.int64)), pa.array(bad.astype(np.int64))], names=["x", "n", "bad"])
 
     found = both.mapInArrow(run, "x string, n long, bad long").groupBy("x").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    found = found.where((F.col("bad") >= LISTED) & (F.col("bad") >= SHARE * F.col("n"))).orderBy(F.desc("bad"), "x").limit(LISTS).collect()
+    found = found.where((F.col("bad") >= LISTED) & (F.col("bad") >= SHARE * F.col("n"))).select("x").collect()  # terms of LABELLED rows
     return {r.x[1:] for r in found if r.x[0] == "w"}, {r.x[1:] for r in found if r.x[0] == "p"}
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", carry: tuple[str, ...] = (), trained: int = TRAINED) -> DataFrame:
-    """``id, *carry, n_words, junk, toxic, kept`` per row: the scores of the trained scorer and the decision."""
+def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", carry: tuple[str, ...] = (), trained: int = TRAINED, posteriors: bool = False) -> DataFrame:
+    """``id, *carry, n_words, junk, toxic, kept`` per row: the scores of the trained scorer and the decision; with ``posteriors`` also ``weak_junk, weak_toxic`` of the votes, which every row then casts again."""
     own = texts(docs, id_col, text_col)
     listed, beginnings = _listed(own, labels, id_col, toxic_col) if labels is not None else (set(), set())
 
@@ -251,7 +251,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     targets = [np.array([weak[v][k] for v in got.column("votes").to_pylist()], float) for k in (0, 1)]
     (w0, b0), (w1, b1) = fit(rows, cols, targets[0]), fit(rows, cols, targets[1])
     model = docs.sparkSession.sparkContext.broadcast((w0.astype(np.float32), w1.astype(np.float32)))  # 2 ** BITS weights each
-    names = [id_col, *carry, "n_words", "junk", "toxic", "kept"]
+    names = [id_col, *carry, "n_words", *(["weak_junk", "weak_toxic"] if posteriors else []), "junk", "toxic", "kept"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,9 +260,10 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
                 rows, cols = s.features()
                 both = [1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[cols], minlength=len(s.n)) + b, -50, 50))) for w, b in zip(model.value, (b0, b1), strict=True)]
                 both = [np.where(s.n > 0, x, 0.0) for x in both]
-                more = [pa.array(s.n.astype(np.int64)), *map(pa.array, both), pa.array((both[0] < 0.5) & (both[1] < 0.5))]
+                told = np.array([weak["".join(map(str, v))] for v in s.votes(listed, beginnings).tolist()]).reshape(-1, 2).T if posteriors else []
+                more = [pa.array(s.n.astype(np.int64)), *map(pa.array, told), *map(pa.array, both), pa.array((both[0] < 0.5) & (both[1] < 0.5))]
                 rest = iter(range(2, part.num_columns))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(1 if c == text_col else next(rest)) for c in carry), *more], names=names)
 
-    fields = [T.StructField(id_col, kind), *(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[-3:-1]), T.StructField("kept", T.BooleanType())]
+    fields = [T.StructField(id_col, kind), *(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[names.index("n_words", 1 + len(carry)) + 1 : -1]), T.StructField("kept", T.BooleanType())]
     return texts(docs, id_col, text_col, *[docs[c].alias(f"_c{k}") for k, c in enumerate(carry) if c != text_col]).mapInArrow(score, T.StructType(fields))

@@ -125,4 +125,4 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), posteriors=True)
