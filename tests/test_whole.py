@@ -9,7 +9,8 @@ import __spark_entry__
 from trialforge import sim
 from trialforge.llm import quality
 from trialforge.llm.shared import texts
-from trialforge.operators import trials
+from trialforge.kernels import special
+from trialforge.operators import comparison, trials
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +72,27 @@ def test_quality_returns_the_posteriors_of_the_votes(spark):
     assert insulting and (got.weak_toxic[insulting] > 0.5).all() and got.weak_toxic.median() < 0.5
     alone = quality.classify(docs, labels).toPandas().set_index("doc_id").sort_index()
     assert alone.equals(got.drop(columns=["weak_junk", "weak_toxic"]))
+
+
+def test_permutations_and_critical_t_are_the_defaults(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((9, 20)), 2 * rng.standard_normal((14, 20))
+    a[:, 5:9] += 3
+    v, w = a.var(axis=0, ddof=1) / 9, b.var(axis=0, ddof=1) / 14
+    t = special.t_critical(0.05, ((v + w) ** 2 / (v**2 / 8 + w**2 / 13)).mean())
+    assert np.isclose(comparison.critical(a, b), t) and 2.0 < t < 2.3 and abs(special.t_critical(0.05, 10) - 2.2281389) < 1e-6
+    frame = comparison.permutations(spark)
+    assert frame.count() == frame.distinct().count() == 2000
+    assert comparison.permutation_masses(a, b, frame.limit(50)).exceptAll(comparison.permutation_masses(a, b, frame.limit(50), t)).isEmpty()
+    one = [tuple(r) for x in (None, t) for r in [comparison.cluster_depth(a, b, frame.where("perm < 50"), x).collect()]]
+    assert one[0] == one[1] and {r.time_idx for r in one[0]} >= {5, 6, 7, 8}
+
+
+def test_permutation_query_resolves_one_in_2000(spark):
+    got = run(spark, "permutation_test").collect()
+    own = {k: np.array([list(map(float, r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").where(f"label = {k}").orderBy("vec_id").collect()]) for k in (0, 1)}
+    t, c = comparison.welch_t(own[0], own[1]), comparison.critical(own[0], own[1])
+    assert {(r.sign, r.start, r.stop) for r in got} == {(s, x, y - 1) for s in (1, -1) for x, y in comparison.mask_runs(s * t > c)}
+    x = np.vstack([own[0], own[1]])
+    null = np.array([comparison.max_mass(*np.split(x[np.random.default_rng([42, k]).permutation(len(x))], [len(own[0])]), c) for k in range(2000)])
+    assert got and all(np.isclose(r.p, (null >= r.mass).mean(), atol=1e-3) for r in got)

@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels import special
 from .relational import islands
 
+PERMUTATIONS = 2000
+
 
 def welch(long: DataFrame, group: str, a: object, b: object, value: str = "signal", by: str = "time_idx") -> DataFrame:
     """Point-wise Welch t and degrees of freedom of group a against b; missing values are skipped."""
@@ -47,8 +49,18 @@ def clusters(stats: DataFrame, threshold: float, stat: str = "t", by: str = "tim
     return out
 
 
-def permutation_masses(a: np.ndarray, b: np.ndarray, frame: DataFrame, threshold: float, seed: int = 42) -> DataFrame:
-    """Largest cluster mass of each permutation in ``frame.perm``; trials are shuffled on the workers, a seed per permutation."""
+def critical(a: np.ndarray, b: np.ndarray, p: float = 0.05) -> float:
+    """Two-tailed critical t at the mean of the points' Welch degrees of freedom."""
+    return special.t_critical(p, float(welch_df(a, b).mean()))
+
+
+def permutations(spark: SparkSession, n: int = PERMUTATIONS) -> DataFrame:
+    return spark.range(n).withColumnRenamed("id", "perm").repartition(min(n, spark.sparkContext.defaultParallelism))
+
+
+def permutation_masses(a: np.ndarray, b: np.ndarray, frame: DataFrame, threshold: float | None = None, seed: int = 42, p_threshold: float = 0.05) -> DataFrame:
+    """Largest cluster mass of each permutation in ``frame.perm``; trials are shuffled on the workers, a seed per permutation.  Without a threshold it is the critical t of ``p_threshold``."""
+    threshold = critical(a, b, p_threshold) if threshold is None else threshold
     rows, na = np.vstack([a, b]), len(a)
     shared = frame.sparkSession.sparkContext.broadcast(rows)  # one experiment's matrix
 
@@ -66,6 +78,13 @@ def welch_t(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.nanmean(a, axis=0) - np.nanmean(b, axis=0)) / np.sqrt(va + vb)
 
 
+def welch_df(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Degrees of freedom of each point; missing values are skipped."""
+    na, nb = (~np.isnan(a)).sum(axis=0), (~np.isnan(b)).sum(axis=0)
+    va, vb = np.nanvar(a, axis=0, ddof=1) / na, np.nanvar(b, axis=0, ddof=1) / nb
+    return (va + vb) ** 2 / (va**2 / (na - 1) + vb**2 / (nb - 1))
+
+
 def mask_runs(flags: np.ndarray) -> list[tuple[int, int]]:
     """Half-open runs of True."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -152,12 +171,15 @@ def step_down(observed: np.ndarray, null: np.ndarray) -> np.ndarray:
     return out
 
 
-def cluster_depth(a: np.ndarray, b: np.ndarray, frame: DataFrame, threshold: float, seed: int = 42) -> DataFrame:
+def cluster_depth(a: np.ndarray, b: np.ndarray, frame: DataFrame, threshold: float | None = None, seed: int = 42, p_threshold: float = 0.05) -> DataFrame:
     """Cluster-depth test: a p-value for each point of each observed cluster, the larger of its head's and its tail's.
 
+    Without a threshold it is the critical t of ``p_threshold``.
+
     Permutations in ``frame.perm`` run on the workers; two values a depth and
     permutation come back, which the axis and the permutations bound.
     """
+    threshold = critical(a, b, p_threshold) if threshold is None else threshold
     rows, na = np.vstack([a, b]), len(a)
     spark = frame.sparkSession
     shared = spark.sparkContext.broadcast(rows)  # one experiment's matrix

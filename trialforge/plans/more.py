@@ -115,7 +115,7 @@ def bleaching_fit(spark, d):
 def cluster_depth(spark, d):
     rows = matrix(spark, d).where("label in (0, 1)").orderBy("vec_id").select("label", "x").toPandas()  # two groups of one experiment
     a, b = (np.array(rows.loc[rows.label == k, "x"].tolist()) for k in (0, 1))
-    return comparison.cluster_depth(a, b, spark.range(400).withColumnRenamed("id", "perm"), 1.0)
+    return comparison.cluster_depth(a, b, comparison.permutations(spark))
 
 
 def _job(p: pd.DataFrame, factor: int, cutoff: float | None = None) -> pd.DataFrame:
