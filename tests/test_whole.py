@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from trialforge import sim
-from trialforge.llm import quality
+from trialforge.llm import neardup, quality
 from trialforge.llm.shared import texts
 from trialforge.kernels import special
 from trialforge.operators import comparison, trials
@@ -96,3 +96,11 @@ def test_permutation_query_resolves_one_in_2000(spark):
     x = np.vstack([own[0], own[1]])
     null = np.array([comparison.max_mass(*np.split(x[np.random.default_rng([42, k]).permutation(len(x))], [len(own[0])]), c) for k in range(2000)])
     assert got and all(np.isclose(r.p, (null >= r.mass).mean(), atol=1e-3) for r in got)
+
+
+def test_stated_misses_of_short_texts():
+    sets = [np.random.default_rng(k).integers(0, 1 << 63, 5, dtype=np.uint64) for k in range(3000)]
+    a, b = (neardup._bands([np.sort(s[:n]) for s in sets], neardup.BANDS, neardup.ROWS) for n in (4, 5))
+    assert abs((a == b).mean() - 0.6**3) < 0.01  # not 0.64 ** 3, as if minimum and maximum were independent
+    miss = {(c, n): (1 - (c * (c - 1) / (n * (n - 1))) ** 3) ** neardup.BANDS for n in range(2, 200) for c in range(1, n) if 10 * c >= 8 * n}
+    assert max(miss, key=miss.get) == (4, 5) and f"{miss[4, 5]:.1e}" == "3.6e-05" and "3.6e-5 at 4 of 5" in neardup.__doc__

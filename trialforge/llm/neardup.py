@@ -22,8 +22,11 @@ salted to ``group`` members, the centre copied to each part.  Texts of compared
 classes are picked by a broadcast of their ids while those number at most
 ``BROADCAST_IDS``, and by a shuffle join beyond.
 
-With 42 bands of 6 a pair of resemblance 0.8 is a candidate with probability
-1 - 3e-6, of 0.9 with 1 - 1e-14.
+With 42 bands of 6 a pair of long texts of resemblance 0.8 is a candidate with
+probability 1 - 3e-6, of 0.9 with 1 - 2e-14.  Minimum and maximum of one
+permutation are not independent: with c common shingles of n both agree with
+q = c (c - 1) / (n (n - 1)), and (1 - q ** 3) ** 42 of such pairs are missed:
+9e-6 at 8 of 10, 3.6e-5 at 4 of 5, the most at resemblance 0.8 or above.
 
 Null and empty texts and those without words have no shingles and link with
 nothing.  Texts with fewer words than ``shingle`` are one shingle.  Rows that
