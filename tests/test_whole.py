@@ -10,7 +10,7 @@ from trialforge import sim
 from trialforge.llm import neardup, quality
 from trialforge.llm.shared import texts
 from trialforge.kernels import special
-from trialforge.operators import comparison, trials
+from trialforge.operators import comparison, experiment, trials
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +104,11 @@ def test_stated_misses_of_short_texts():
     assert abs((a == b).mean() - 0.6**3) < 0.01  # not 0.64 ** 3, as if minimum and maximum were independent
     miss = {(c, n): (1 - (c * (c - 1) / (n * (n - 1))) ** 3) ** neardup.BANDS for n in range(2, 200) for c in range(1, n) if 10 * c >= 8 * n}
     assert max(miss, key=miss.get) == (4, 5) and f"{miss[4, 5]:.1e}" == "3.6e-05" and "3.6e-5 at 4 of 5" in neardup.__doc__
+
+
+def test_a_cutoff_beyond_the_sampling_is_an_error(spark):
+    s = spark.createDataFrame([(1, k / 6, float(k % 5), float(k % 7)) for k in range(60)], "k int, t double, y double, x double")
+    with pytest.raises(Exception, match="samples a second"):
+        experiment.preprocess(s, "k", "t", "y", "x", cutoff=3.1).collect()
+    assert experiment.preprocess(s, "k", "t", "y", "x", cutoff=2.0).count() == experiment.preprocess(s, "k", "t", "y", "x", cutoff=None).count() == 60
+    assert experiment.preprocess(s.limit(1), "k", "t", "y", "x").count() == 1

@@ -36,7 +36,8 @@ def preprocess(samples: DataFrame, key: str, t: str, raw: str, reference: str |
     Filters and robust fits are sequential along a recording, so a recording is
     the unit of work; recordings spread over the cluster.  Without a reference
     the fit is a bleaching curve.  Returns ``key, t, filtered, fitted_ref,
-    processed``; a recording of fewer than two samples passes unfiltered.
+    processed``; a recording of fewer than two samples passes unfiltered, one
+    sampled too slowly for the cutoff is an error.
     """
     fit = fit or ("IRLS" if reference else "bleaching")
     if not callable(fit) and fit not in FITS:
@@ -53,7 +54,9 @@ def preprocess(samples: DataFrame, key: str, t: str, raw: str, reference: str |
         time, y = p[t].to_numpy(float), p[raw].to_numpy(float)
         x = p[reference].to_numpy(float) if reference else None
         fs = (len(time) - 1) / (time[-1] - time[0]) if len(time) > 1 and time[-1] > time[0] else 0.0
-        if cutoff is not None and fs > 2 * cutoff:
+        if cutoff is not None and len(y) > 1:
+            if fs <= 2 * cutoff:
+                raise ValueError(f"recording {p[key].iloc[0]}: a cutoff of {cutoff} Hz needs more than {2 * cutoff} samples a second, not {fs}")
             y = signal.lowpass(y, fs, cutoff, order)
             x = signal.lowpass(x, fs, cutoff, order) if reference else None
         ref = fit_reference(y, x, time, fs, fit, c, maxiter, bleaching_window) if len(y) > 1 else y
