@@ -32,7 +32,10 @@ Null and empty texts and those without words have no shingles and link with
 nothing.  Texts with fewer words than ``shingle`` are one shingle.  Rows that
 repeat an id are versions of one document: its component is the least reached
 by any of them.  A null id keeps its row, with a null component, and is never
-compared.
+compared.  A text of any length is one row and one set.  Ids decide ties: the
+least stands for a class and a component, and of equally near bucket centres
+the least is taken.  Only the id and the text column are read, so others cannot
+clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ from . import flat
 from .graph import components
 from .shared import ID, TEXT, cut, partitions, texts, written
 
-BANDS, ROWS, GROUP = 42, 6, 2000
+BANDS, ROWS, GROUP = 42, 6, 250
 #: Buckets of up to so many classes are compared pair by pair.
 SMALL = 16
 #: Shingles and members of a block, on average.
@@ -210,9 +213,9 @@ def _blocks(percent: int):
     return run
 
 
-def _placed(docs: DataFrame, places: DataFrame, size: int, compare, *order: str) -> DataFrame:
-    """Ships the sets of ``places`` (i, g, s, c) to their groups (g, s) and compares there."""
-    places = cut(places.groupBy("i").agg(F.collect_list(F.struct("g", "s", "c")).alias("places")))
+def _placed(docs: DataFrame, places: DataFrame, size: int, compare, *order: str, rows: int) -> DataFrame:
+    """Ships the sets of ``places`` (i, g, s, c) to their groups (g, s) and compares there; ``rows`` bounds the classes and the links."""
+    places = cut(places.groupBy("i").agg(F.collect_list(F.struct("g", "s", "c")).alias("places")), rows)
     if places.count() <= BROADCAST_IDS:
         places = F.broadcast(places)
     kind = docs.schema[ID].dataType
@@ -220,24 +223,30 @@ def _placed(docs: DataFrame, places: DataFrame, size: int, compare, *order: str)
     sets = docs.join(places, docs[ID] == places["i"]).select(ID, TEXT, "places").mapInArrow(_full(size), schema)
     sets = sets.repartition(partitions(docs.sparkSession), "g", "s").withColumn("rest", F.col("i") != F.col("g")).sortWithinPartitions("g", "s", *order).drop("rest")
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return cut(sets.mapInArrow(compare, schema))
+    return cut(sets.mapInArrow(compare, schema), rows, apart=True)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, group: int = GROUP) -> DataFrame:
+def _once(table: DataFrame, rows: int) -> DataFrame:
+    """A table of one row per group for a join with the groups' rows: broadcast if it is small, else one that Spark can split the join by."""
+    table = cut(table, rows)
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, group: int, rows: int) -> DataFrame:
     """Pairs ``a, b`` (a < b, distinct) whose full sets resemble enough; ``docs`` has internal names and distinct ids."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
+    parts = _once(pairs.groupBy("a").agg(F.ceil(F.count("*") / group).cast("int").alias("parts")), rows)
     members = pairs.join(parts, "a").select(F.col("b").alias("i"), F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("s"))
     centres = parts.select(F.col("a").alias("i"), F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
-    return _placed(docs, members.union(centres).withColumn("c", F.col("i")), size, _confirm(percent), "rest")
+    return _placed(docs, members.union(centres).withColumn("c", F.col("i")), size, _confirm(percent), "rest", rows=rows)
 
 
-def blockwise(docs: DataFrame, clusters: DataFrame, size: int, percent: int) -> DataFrame:
+def blockwise(docs: DataFrame, clusters: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
     """Links across components in clusters ``centre, rep, comp, n``, all pairs compared block against block."""
-    totals = clusters.groupBy("centre").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("p"))
+    totals = _once(clusters.groupBy("centre").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int").alias("p")), rows)
     own = clusters.join(totals, "centre").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("p")).cast("int"))
     each = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     s = (F.least("k", "j") * F.col("p") + F.greatest("k", "j")).cast("int")
-    return _placed(docs, each.select(F.col("rep").alias("i"), F.col("centre").alias("g"), s.alias("s"), F.col("comp").alias("c")), size, _blocks(percent))
+    return _placed(docs, each.select(F.col("rep").alias("i"), F.col("centre").alias("g"), s.alias("s"), F.col("comp").alias("c")), size, _blocks(percent), rows=rows)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, group: int = GROUP) -> DataFrame:
@@ -247,37 +256,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = own.schema[ID].dataType
     schema = T.StructType([T.StructField(ID, kind), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     scanned = written(own.mapInArrow(_scan(shingle, bands, rows), schema), "bands")
-    classes = scanned.where(f"cls is not null and {ID} is not null").groupBy("cls").agg(F.min(ID).alias("rep"))
+    # a table of its own: what is joined with it by class can be split where a class has many copies
+    classes = written(scanned.where(f"cls is not null and {ID} is not null").groupBy("cls").agg(F.min(ID).alias("rep"), F.count("*").alias("copies")), "classes", scanned.count())
+    n = classes.count()  # bounds what has a row per class
     # the representative's own row carries the band keys; nothing wide is aggregated
     at = scanned.alias("x").join(classes.alias("y"), (F.col(f"x.{ID}") == F.col("y.rep")) & (F.col("x.cls") == F.col("y.cls")))
     in_buckets = at.select("rep", "n", F.explode("keys").alias("bucket"))
     shared = in_buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count("*").alias("many")).where("centre != last")
-    members = written(in_buckets.join(shared.drop("last"), "bucket"), "buckets")
+    members = written(in_buckets.join(shared.drop("last"), "bucket"), "buckets", n * bands)
 
     # one comparison for each class, with the centre it meets most often
     near = members.where("rep != centre").groupBy("rep", "centre").agg(F.count("*").alias("c"))
-    first = cut(near.groupBy("rep").agg(F.max_by("centre", F.struct("c", -F.col("centre"))).alias("a")).select("a", F.col("rep").alias("b")))
+    first = cut(near.groupBy("rep").agg(F.max_by("centre", F.struct("c", -F.col("centre"))).alias("a")).select("a", F.col("rep").alias("b")), n)
     one = own.where(F.col(ID).isNotNull())
-    links = confirmed(one, first, shingle, percent, group)
-    comps = components(links)
+    links = confirmed(one, first, shingle, percent, group, n)
+    comps = components(links, rows=n)
 
     # what is still open: pairs across components that meet in a bucket
     labelled = members.join(comps, members["rep"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
-    labelled = cut(labelled)
+    labelled = cut(labelled, n * bands)
     still = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-    rest = cut(labelled.join(still, "bucket"))
+    rest = cut(labelled.join(still, "bucket"), n * bands)
+    open_rows = rest.count()
     x, y = rest.where(F.col("many") <= SMALL).alias("x"), rest.where(F.col("many") <= SMALL).alias("y")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")))
-    pairs = cut(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = confirmed(one, pairs, shingle, percent, group)
+    pairs = cut(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), open_rows * SMALL)
+    more = confirmed(one, pairs, shingle, percent, group, open_rows)
     clusters = rest.where(F.col("many") > SMALL).select("centre", "rep", "comp", "n").distinct()
-    more = more.union(blockwise(one, clusters, shingle, percent))
-    by_class = classes.select("cls", "rep")
+    more = more.union(blockwise(one, clusters, shingle, percent, open_rows))
     # versions of one id tie their classes together
-    versions = scanned.where(f"cls is not null and {ID} is not null").join(by_class, "cls").where(f"{ID} != rep").select(F.col("rep").alias("a"), F.col(ID).alias("b"))
-    repeated = scanned.where(f"cls is not null and {ID} is not null").groupBy(ID).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select(F.col(ID).alias("b"))
-    comps = components(links.union(more).union(versions.join(repeated, "b").select("a", "b")).union(by_class.join(repeated, by_class["rep"] == repeated["b"]).select(F.col("rep").alias("a"), F.col("b"))))
-
-    out = scanned.select(ID, "n", "cls").join(by_class, "cls", "left")
-    out = out.join(comps, out["rep"] == comps["node"], "left").select(ID, "n", F.coalesce("comp", "rep", ID).alias("comp"))
+    by_class, full = classes.select("cls", "rep"), scanned.where(f"cls is not null and {ID} is not null").select(ID, "cls")
+    repeated = cut(full.groupBy(ID).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select(F.col(ID).alias("b")), n)
+    versions = full.join(repeated, full[ID] == repeated["b"]).select("b", "cls").distinct().join(by_class, "cls").select(F.col("rep").alias("a"), "b")
+    comps = components(links.union(more).union(versions))
+
+    # only copies have to look up who stands for their class
+    copied = classes.where("copies > 1").select(F.col("cls").alias("of"), "rep")
+    out = scanned.select(ID, "n", "cls").join(copied, F.col("cls") == F.col("of"), "left").withColumn("rep", F.when(F.col(ID).isNotNull(), F.coalesce("rep", ID)))
+    comps = comps.where("node != comp")
+    out = out.join(comps, out["rep"] == comps["node"], "left").select(ID, "n", F.coalesce("comp", "rep").alias("comp"))
     return out.select(F.col(ID).alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), (F.col(ID) == F.col("comp")).alias("kept"))

@@ -34,8 +34,8 @@ from . import flat
 
 #: Segments longer than this are merged with a heap.
 LONG = 256
-#: Encoded segments that a worker remembers.
-REMEMBERED = 300_000
+#: Encoded segments that a task remembers.
+REMEMBERED = 60_000
 BLANK = "▁"
 _NONE = np.int64(1) << np.int64(62)
 
@@ -379,6 +379,8 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", decode
                 if decoded_col:
                     more[decoded_col] = pa.array(bpe.decode(ids, offsets), pa.string())
                 yield _with(part, **more)
+        bpe.memory, bpe.older = {}, {}
+        flat.release()
 
     return docs.mapInArrow(run, T.StructType(fields))
 

@@ -13,19 +13,24 @@ document.  A document is kept if both of its scores are below one half.
 
 Bounds: ``LABELLED`` labelled rows for the word lists, ``TRAINED`` documents for
 the scorer (those of least id hash, so the sample does not depend on the order
-of rows), ``2 ** BITS`` weights.  Without labels the lists stay empty.
-
-Null and empty texts get no votes but those on what they lack and are kept.
-Rows are scored one by one: repeated rows get equal scores, null ids are scored
-too but never sampled.
+of rows; ids that tie come in the order of the ids, ids of several rows are left
+out) with ``FEATURES`` features together, ``2 ** BITS`` weights.  Without labels the lists stay empty.
+
+Null and empty texts get no votes but those on what they lack and are kept.  A
+text of any length is one row.  Rows are scored one by one: repeated rows get
+equal scores, null ids are scored too but never sampled.  Carried columns that
+are called like a result are replaced by it; others cannot clash.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +39,12 @@ from pyspark.sql import types as T
 from . import flat
 from .shared import ID, TEXT, cut, texts
 
-LABELLED, TRAINED, BITS = 20_000, 12_000, 18
+LABELLED, TRAINED, FEATURES, BITS = 20_000, 12_000, 6_000_000, 18
 #: Most that a labeller may be estimated to vote bad on good documents.
 SLIP = 0.005
 #: A listed word occurs in so many toxic labelled rows, and in toxic ones in this share.
 LISTED, SHARE = 5, 0.95
-# Words that are insults wherever they stand.
+#: What the first toxicity labeller looks for; the other two learn from labels.
 INSULTS = ["idiot", "moron", "stupid", "loser", "pathetic", "scum", "trash", "worthless", "disgusting", "clown"]
 JUNK = ["repeats", "capitals", "symbols", "bars", "variety", "shouting", "plain"]
 TOXIC = ["insults", "listed", "beginnings"]
@@ -63,35 +68,43 @@ def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    """Sorted distinct values."""
-    x = np.sort(x)
-    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+def _pairs(row: np.ndarray, col: np.ndarray, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order; sorted as 32-bit numbers where these hold them."""
+    kind = np.uint32 if rows * cols < 1 << 32 else np.uint64
+    x = row.astype(kind) * kind(cols) + col.astype(kind)
+    x.sort()
+    x = x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+    row = x // kind(max(cols, 1))
+    return row.astype(np.int64), (x - row * kind(cols)).astype(np.int64)
+
+
+def _flags(found: pa.Array) -> np.ndarray:
+    return pc.fill_null(found, False).to_numpy(zero_copy_only=False)
 
 
 class Slice:
     """Words, statistics and votes of the texts of a slice."""
 
     def __init__(self, column: pa.Array):
-        w = self.w = flat.words(column, lower=True)
+        w = flat.words(column, lower=True)
         raw, _ = flat.buffers(column)
         self.n = np.diff(w.docs)
         same = np.zeros(len(w.codes), bool)
         same[1:] = w.codes[1:] == w.codes[:-1]
         same[w.docs[:-1][self.n > 0]] = False
-        names = [x.decode() for x in w.distinct.to_pylist()]
-        self.bare = [x.strip(".,;:!?\"'()*#%&$|") for x in names]
-        bar, loud, plain = (np.array([f(x) for x in names], bool) for f in (lambda x: x == "|", lambda x: x.endswith("!!"), lambda x: x.strip(".,;:!?\"'()-").isalnum()))
+        names = w.distinct.cast(pa.large_string())
+        self.bare = pc.utf8_trim(names, ".,;:!?\"'()*#%&$|")
+        sizes = pc.utf8_length(self.bare)
+        self.spans = [pc.if_else(pc.greater(sizes, m), pc.utf8_slice_codeunits(self.bare, 0, m), pa.scalar(None, pa.large_string())) for m in _SPAN]
         # distinct words of each text
-        pair = _distinct(np.repeat(np.arange(len(self.n), dtype=np.int64), self.n) << 32 | w.codes)
-        self.row, self.code = pair >> 32, (pair & 0xFFFFFFFF).astype(np.int64)
+        self.row, self.code = _pairs(np.repeat(np.arange(len(self.n), dtype=np.int64), self.n), w.codes, len(self.n), len(names))
         self.kinds = np.bincount(self.row, minlength=len(self.n))
         letters = _sums(_LETTER[raw], w.offsets)
         sizes = np.diff(w.offsets)
-        pick = lambda flags: flags[w.codes] if len(w.codes) else np.zeros(0, bool)
+        pick = lambda found: _sums(_flags(found)[w.codes] if len(w.codes) else np.zeros(0, bool), w.docs)
         self.stats = {
             "repeats": _ratio(_sums(same, w.docs), self.n), "capitals": _ratio(_sums(_UPPER[raw], w.offsets), letters), "symbols": _ratio(_sums(_SYMBOL[raw], w.offsets), sizes),
-            "bars": _ratio(_sums(pick(bar), w.docs), self.n), "variety": np.where(self.n >= 40, self.kinds / np.maximum(np.minimum(self.n, 400), 1), 1.0), "shouting": _ratio(_sums(pick(loud), w.docs), self.n), "plain": _ratio(_sums(pick(plain), w.docs), self.n),
+            "bars": _ratio(pick(pc.equal(names, "|")), self.n), "variety": np.where(self.n >= 40, self.kinds / np.maximum(np.minimum(self.n, 400), 1), 1.0), "shouting": _ratio(pick(pc.ends_with(names, "!!")), self.n), "plain": _ratio(pick(pc.utf8_is_alnum(pc.utf8_trim(names, ".,;:!?\"'()-"))), self.n),
         }
 
     def has(self, flags: np.ndarray) -> np.ndarray:
@@ -107,35 +120,29 @@ class Slice:
             s = self.stats[name]
             bad, good = (s < 0.15, s > 0.35) if name == "variety" else (s < 0.75, s > 0.9) if name == "plain" else (s > limits[name][0], s < limits[name][1])
             out[:, k] = np.where(enough & bad, 2, np.where(enough & good, 1, 0))
-        insults = set(INSULTS)
-        for k, (known, test) in enumerate(((insults, lambda x: x in insults), (listed, lambda x: x in listed), (beginnings, lambda x: any(x[:m] in beginnings for m in _SPAN if len(x) > m)))):
+        for k, (known, columns) in enumerate(((set(INSULTS), [self.bare]), (listed, [self.bare]), (beginnings, self.spans))):
             if known:
-                out[:, len(JUNK) + k] = np.where(self.has(np.array([test(x) for x in self.bare], bool)), 2, 1) * (self.n > 0)
+                known = pa.array(sorted(known), pa.large_string())
+                out[:, len(JUNK) + k] = np.where(self.has(np.logical_or.reduce([_flags(pc.is_in(c, known)) for c in columns])), 2, 1) * (self.n > 0)
         return out
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Row and hashed feature, each pair once."""
-        top = np.uint64((1 << BITS) - 1)
-        at, out, known = [0], [], {}
-        for x in self.bare:
-            out.append(xxhash.xxh3_64_intdigest(b"w" + x.encode()))
-            for m in _SPAN:
-                if len(x) > m:
-                    y = x[:m]
-                    if y not in known:
-                        known[y] = xxhash.xxh3_64_intdigest(b"p" + y.encode())
-                    out.append(known[y])
-            at.append(len(out))
-        own = (np.array(out, np.uint64) & top).astype(np.int64)
-        pick, sizes = flat.gather(np.array(at, np.int64), self.code)
-        rows, cols = [np.repeat(self.row, np.diff(sizes))], [own[pick]]
+        """Row and hashed feature, each pair once, in order."""
+        top = (1 << BITS) - 1
+        own = [np.array([xxhash.xxh3_64_intdigest(b"w" + x) & top for x in self.bare.cast(pa.large_binary()).to_pylist()], np.int32)]
+        for c in self.spans:
+            coded = c.dictionary_encode()
+            known = np.array([xxhash.xxh3_64_intdigest("p" + x) & top for x in coded.dictionary.to_pylist()] + [-1], np.int32)
+            own.append(known[pc.fill_null(coded.indices, len(known) - 1).to_numpy(zero_copy_only=False)])
+        own = np.stack(own, axis=1)[self.code].ravel()
+        there = own >= 0
+        rows, cols = [np.repeat(self.row, 1 + len(_SPAN))[there]], [own[there]]
         for name, s in self.stats.items():
             step = np.minimum(np.floor(np.sqrt(s) * 20), 20).astype(np.int64)
-            known = np.array([xxhash.xxh3_64_intdigest(f"s{name}{j}".encode()) for j in range(21)], np.uint64) & top
+            known = np.array([xxhash.xxh3_64_intdigest(f"s{name}{j}") & top for j in range(21)], np.int32)
             rows.append(np.arange(len(s), dtype=np.int64))
-            cols.append(known[step].astype(np.int64))
-        pair = _distinct(np.concatenate(rows) << 32 | np.concatenate(cols))
-        return pair >> 32, pair & 0xFFFFFFFF
+            cols.append(known[step])
+        return _pairs(np.concatenate(rows), np.concatenate(cols), len(self.n), 1 << BITS)
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
@@ -166,27 +173,35 @@ def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.
 
 def fit(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, rounds: int = 200, rate: float = 0.3, l1: float = 1e-3) -> tuple[np.ndarray, float]:
     """Sparse logistic weights for soft targets, both classes weighing the same: adaptive gradient steps with shrinkage."""
-    n = len(target)
-    w, b = np.zeros(1 << BITS), 0.0
+    n, out, b = len(target), np.zeros(1 << BITS), 0.0
     if not n:
-        return w, -1.0
+        return out, -1.0
     share = min(max(target.mean(), 0.02), 0.98)
     mass = (target / share + (1 - target) / (1 - share)) / 2
     # a feature whose gradient cannot exceed the shrinkage keeps weight zero
     able = (np.bincount(cols, weights=mass[rows], minlength=1 << BITS) / n > l1)[cols]
     rows, cols = rows[able], cols[able]
-    seen, seen_b = np.zeros(1 << BITS), 0.0
+    if not len(rows):
+        return out, float(np.log(share / (1 - share))) if 0 < target.mean() < 1 else -1.0
+    # once by row and once by feature, so that sums run over neighbours
+    kinds, col = np.unique(cols, return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    of_col, at_col = rows[order].astype(np.int32), np.searchsorted(col[order], np.arange(len(kinds)))
+    present, at_row = np.unique(rows, return_index=True)
+    col = col.astype(np.int32)
+    w, seen, seen_b, z = np.zeros(len(kinds)), np.zeros(len(kinds)), 0.0, np.zeros(n)
     for _ in range(rounds):
-        z = np.bincount(rows, weights=w[cols], minlength=n) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) * mass / n
-        gw = np.bincount(cols, weights=g[rows], minlength=1 << BITS)
+        z[present] = np.add.reduceat(w[col], at_row)
+        g = (1 / (1 + np.exp(-np.clip(z + b, -50, 50))) - target) * mass / n
+        gw = np.add.reduceat(g[of_col], at_col)
         seen += gw * gw
         seen_b += g.sum() ** 2
         scale = rate / (np.sqrt(seen) + 1e-8)
         w -= scale * gw
         w = np.sign(w) * np.maximum(np.abs(w) - scale * l1, 0)
         b -= rate * g.sum() / (np.sqrt(seen_b) + 1e-8)
-    return w, b
+    out[kinds] = w
+    return out, b
 
 
 def _listed(docs: DataFrame, labels: DataFrame, id_col: str, toxic_col: str) -> tuple[set[str], set[str]]:
@@ -202,7 +217,7 @@ def _listed(docs: DataFrame, labels: DataFrame, id_col: str, toxic_col: str) ->
                 toxic = part.column(0).to_numpy(zero_copy_only=False)
                 spelled: dict[str, int] = {}
                 at, own = [0], []
-                for x in s.bare:
+                for x in s.bare.to_pylist():
                     own += [spelled.setdefault(y, len(spelled)) for y in ["w" + x, *("p" + x[:m] for m in _SPAN if len(x) > m)] if len(y) > 2]
                     at.append(len(own))
                 pick, sizes = flat.gather(np.array(at, np.int64), s.code)
@@ -217,41 +232,50 @@ def _listed(docs: DataFrame, labels: DataFrame, id_col: str, toxic_col: str) ->
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", carry: tuple[str, ...] = (), trained: int = TRAINED, posteriors: bool = False) -> DataFrame:
     """``id, *carry, n_words, junk, toxic, kept`` per row: the scores of the trained scorer and the decision; with ``posteriors`` also ``weak_junk, weak_toxic`` of the votes, which every row then casts again."""
+    results = ["n_words", *(["weak_junk", "weak_toxic"] if posteriors else []), "junk", "toxic", "kept"]
+    carry = tuple(c for c in carry if c not in (id_col, *results))
     own = texts(docs, id_col, text_col)
     listed, beginnings = _listed(own, labels, id_col, toxic_col) if labels is not None else (set(), set())
+    signs = lambda s: ["".join(map(str, v)) for v in s.votes(listed, beginnings).tolist()]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in flat.slices(batch, TEXT):
-                votes = Slice(part.column(1)).votes(listed, beginnings)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(["".join(map(str, v)) for v in votes.tolist()])], names=[ID, "votes"])
+                s = Slice(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signs(s), pa.string()), pa.array((1 + len(_SPAN)) * s.kinds + len(s.stats))], names=[ID, "votes", "most"])
 
     kind = own.schema[ID].dataType
-    voted = cut(own.mapInArrow(vote, T.StructType([T.StructField(ID, kind), T.StructField("votes", T.StringType())])))
+    voted = cut(own.mapInArrow(vote, T.StructType([T.StructField(ID, kind), T.StructField("votes", T.StringType()), T.StructField("most", T.LongType())])), docs.count(), apart=True)
     counted = voted.groupBy("votes").count().collect()  # 3 ** 10 patterns at most
     patterns = np.array([[int(c) for c in r["votes"]] for r in counted], np.int8).reshape(len(counted), len(JUNK) + len(TOXIC))
     counts = np.array([r["count"] for r in counted], float)
     junk, toxic = em(patterns[:, : len(JUNK)], counts)[0], em(patterns[:, len(JUNK) :], counts)[0]
     weak = {r["votes"]: (float(j), float(t)) for r, j, t in zip(counted, junk, toxic, strict=True)}
 
-    sample = voted.where(F.col(ID).isNotNull()).dropDuplicates([ID]).orderBy(F.xxhash64(ID), ID).limit(trained).withColumnRenamed(ID, "_s")
-    chosen = own.join(F.broadcast(sample), own[ID] == F.col("_s")).select("votes", TEXT)  # ``trained`` ids at most
+    # ``trained`` ids of one row each, with ``FEATURES`` features at most; the row after the last tells whether the last repeats
+    drawn = voted.where(F.col(ID).isNotNull()).select(ID, "most").orderBy(F.xxhash64(ID), ID).limit(trained + 1).collect()
+    often = Counter(r[ID] for r in drawn)
+    drawn = [r for r in drawn[:trained] if often[r[ID]] == 1]
+    drawn = [r[ID] for r, total in zip(drawn, np.cumsum([r["most"] for r in drawn]), strict=True) if total <= FEATURES]
+    sample = docs.sparkSession.createDataFrame([(x,) for x in drawn], T.StructType([T.StructField("_s", kind)]))
+    chosen = own.join(F.broadcast(sample), own[ID] == F.col("_s")).select(F.xxhash64(ID).alias("h"), TEXT)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in flat.slices(batch, TEXT):
-                rows, cols = Slice(part.column(1)).features()
+                s = Slice(part.column(1))
+                rows, cols = s.features()
                 at = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), flat.list_array(cols.astype(np.int32), at)], names=["votes", "cols"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signs(s), pa.string()), flat.list_array(cols.astype(np.int32), at)], names=["h", "votes", "cols"])
 
-    got = chosen.mapInArrow(features, "votes string, cols array<int>").toArrow()
+    got = chosen.mapInArrow(features, "h long, votes string, cols array<int>").orderBy("h", "votes").toArrow()
     lists = got.column("cols").combine_chunks()
     cols = lists.flatten().to_numpy() if len(got) else np.zeros(0, np.int32)
-    rows = np.repeat(np.arange(len(got)), lists.value_lengths().to_numpy()) if len(got) else np.zeros(0, np.int64)
+    rows = np.repeat(np.arange(len(got), dtype=np.int32), lists.value_lengths().to_numpy()) if len(got) else np.zeros(0, np.int32)
     targets = [np.array([weak[v][k] for v in got.column("votes").to_pylist()], float) for k in (0, 1)]
     (w0, b0), (w1, b1) = fit(rows, cols, targets[0]), fit(rows, cols, targets[1])
     model = docs.sparkSession.sparkContext.broadcast((w0.astype(np.float32), w1.astype(np.float32)))  # 2 ** BITS weights each
-    names = [id_col, *carry, "n_words", *(["weak_junk", "weak_toxic"] if posteriors else []), "junk", "toxic", "kept"]
+    names = [id_col, *carry, *results]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,10 +284,10 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
                 rows, cols = s.features()
                 both = [1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[cols], minlength=len(s.n)) + b, -50, 50))) for w, b in zip(model.value, (b0, b1), strict=True)]
                 both = [np.where(s.n > 0, x, 0.0) for x in both]
-                told = np.array([weak["".join(map(str, v))] for v in s.votes(listed, beginnings).tolist()]).reshape(-1, 2).T if posteriors else []
+                told = np.array([weak[v] for v in signs(s)]).reshape(-1, 2).T if posteriors else []
                 more = [pa.array(s.n.astype(np.int64)), *map(pa.array, told), *map(pa.array, both), pa.array((both[0] < 0.5) & (both[1] < 0.5))]
                 rest = iter(range(2, part.num_columns))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(1 if c == text_col else next(rest)) for c in carry), *more], names=names)
 
-    fields = [T.StructField(id_col, kind), *(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[names.index("n_words", 1 + len(carry)) + 1 : -1]), T.StructField("kept", T.BooleanType())]
+    fields = [T.StructField(id_col, kind), *(T.StructField(c, docs.schema[c].dataType) for c in carry), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in results[1:-1]), T.StructField("kept", T.BooleanType())]
     return texts(docs, id_col, text_col, *[docs[c].alias(f"_c{k}") for k, c in enumerate(carry) if c != text_col]).mapInArrow(score, T.StructType(fields))

@@ -15,14 +15,19 @@ removed; windows are judged on the input.
 3. Word ranges of repeated windows go back to their documents.
 
 Hot minimisers (more than ``hot`` super-k-mers) would fill one bucket.  Their
-super-k-mers are split into single windows, spread by window hash, and equal
-windows of a map batch are merged before the shuffle, so what reaches a bucket
-for one window is at most one row per map batch.
-
-Null and empty texts have no words and are returned with zero counts.  Rows
-that share an id (null is an id too) are versions of one document: a window
-found twice at the same id and place counts once, and each row loses the
-ranges found for the id.
+super-k-mers are split into single windows, spread by window hash.  Windows
+that a map batch sees twice are decided there: their texts travel once per
+batch, and their places as bare ranges spread by document.  A bucket task
+judges a hot window in parts and keeps one row of it, so what it holds does not
+grow with the window's copies.
+
+Null and empty texts have no words and are returned with zero counts; a text of
+any length is one row, cut into super-k-mers like others.  Rows that share an
+id (null is an id too) are versions of one document: a window found twice at
+the same id and place counts once, and each row loses the ranges found for the
+id.  Other columns cannot clash: only the named ones are read, and carried ones
+that are called like a result are replaced by it.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +45,7 @@ from pyspark.sql import types as T
 from . import flat
 from .shared import ID, TEXT, partitions, texts
 
-WIDTH, GRAM, HOT = 35, 12, 4096
+WIDTH, GRAM, HOT = 35, 12, 512
 #: Bytes of packed strings that a bucket task counts at once, beyond one minimiser.
 CHUNK = 8 << 20
 
@@ -123,6 +130,7 @@ def _pack(width: int, id_type: pa.DataType):
         for batch in batches:
             out: list[list] = [[] for _ in names]
             hot: dict[bytes, list] = {}
+            ranges: list[list] = []
             for part in flat.slices(batch, TEXT):
                 w = flat.words(part.column(1))
                 ids, found = part.column(0).to_pylist(), part.column(2)
@@ -140,6 +148,7 @@ def _pack(width: int, id_type: pa.DataType):
                                 column.append(x)
                             continue
                         whole = _grams(w.hashes(), width) if whole is None else whole
+                        told = None  # decided windows in a row are one range
                         for j in range(n):
                             text = bytes(data[bounds[low + j] : bounds[low + j + width] - 1])
                             seen = hot.get(text)
@@ -147,12 +156,16 @@ def _pack(width: int, id_type: pa.DataType):
                                 hot[text] = [int(_signed(whole[low + j : low + j + 1])[0]), ids[k], r["start"] + j, 1, False, text]
                             elif (seen[1], seen[2]) != (ids[k], r["start"] + j):
                                 seen[4] = True
-                                for column, x in zip(out, (seen[0], ids[k], r["start"] + j, 1, True, None), strict=True):
-                                    column.append(x)
+                                if told is None or told[2] + told[3] != r["start"] + j:
+                                    told = [0, ids[k], r["start"] + j, 0, True, None]
+                                    ranges.append(told)
+                                told[3] += 1
                 if len(out[0]) > 20_000:
                     yield rows(*out)
                     out = [[] for _ in names]
-            for x in hot.values():
+            for x in ranges:
+                x[0] = _signed(np.array([xxhash.xxh3_64_intdigest(f"{x[1]}:{x[2]}")], np.uint64))[0]
+            for x in (*hot.values(), *ranges):
                 for column, y in zip(out, x, strict=True):
                     column.append(y)
             if out[0]:
@@ -183,7 +196,7 @@ def _count(width: int):
         known, bucket = t.column("known").to_numpy(zero_copy_only=False), t.column("bucket").to_numpy()
         told = np.flatnonzero(t.column("packed").combine_chunks().is_null().to_numpy(zero_copy_only=False))
         if len(told):  # windows that their map batch saw twice
-            yield ranges(ids, told, start[told], np.full(len(told), width))
+            yield ranges(ids, told, start[told], n[told] + width - 1)
         w = flat.words(t.column("packed").combine_chunks().cast(pa.large_binary()))
         count = np.maximum(np.diff(w.docs) - width + 1, 0)
         if not count.sum():
@@ -221,19 +234,37 @@ def _count(width: int):
             size = np.diff(np.append(first, len(hit)))
             yield ranges(ids, row[hit[first]], at[hit[first]], size + width - 1)
 
+    def once(t: pa.Table) -> pa.Table:
+        """One row of each text of a judged table of single windows, told if it is repeated."""
+        first: dict[bytes, list] = {}
+        for k, (own, at, known, text) in enumerate(zip(*(t.column(c).to_pylist() for c in (ID, "start", "known", "packed")), strict=True)):
+            if text is not None:
+                seen = first.setdefault(text, [k, own, at, known])
+                seen[3] = seen[3] or known or (own, at) != (seen[1], seen[2])
+        kept = t.take(pa.array([x[0] for x in first.values()], pa.int64()))
+        return kept.set_column(kept.column_names.index("known"), "known", pa.array([x[3] for x in first.values()], pa.bool_()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
+        held = 0
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 waiting.append(batch.slice(low, 2000))
-                if sum(b.nbytes for b in waiting) < CHUNK:
+                held += waiting[-1].nbytes
+                if held < CHUNK:
                     continue
                 t = pa.Table.from_batches(waiting)
                 bucket = t.column("bucket").to_numpy()
                 cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
                 if cut:
                     yield from judge(t.slice(0, cut))
-                waiting = t.slice(cut).combine_chunks().to_batches()
+                t = t.slice(cut)
+                if t.nbytes >= CHUNK and pc.max(t.column("n")).as_py() == 1:  # a hot window
+                    yield from judge(t)
+                    t = once(t)
+                waiting = t.combine_chunks().to_batches()
+                held = sum(b.nbytes for b in waiting)
+                flat.release()
         if waiting:
             yield from judge(pa.Table.from_batches(waiting))
 
@@ -303,10 +334,11 @@ def _beside(own: DataFrame, lists: DataFrame, name: str) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = HOT, keep_space: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``id, n_words, n_removed, kept`` per row, after the columns named in ``carry``.
+    """``id, n_words, n_removed, kept`` per row, after the columns named in ``carry`` (but those called like a result).
 
     ``kept`` is the kept words joined by one space, or with ``keep_space`` the text without the removed words and the space after them.
     """
+    carry = tuple(c for c in carry if c not in (id_col, "n_words", "n_removed", "kept"))
     spans = repeated_ranges(docs, id_col, text_col, width, gram, hot)
     lists = spans.groupBy(ID).agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     own = texts(docs, id_col, text_col, *[docs[c].alias(f"_c{k}") for k, c in enumerate(carry)])
