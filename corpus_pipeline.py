@@ -13,8 +13,15 @@ the columns of ``documents``.
 4. decontamination: contaminated documents go, other hit words are cut out.
 5. tokens: ids of every text and the text decoded from them.
 
-No SQL form exists: the first stage trains a model.  The stages are tested
-against brute-force versions.
+No SQL form exists: the first stage trains a model.  ``tests/llm`` holds each
+later stage against a brute-force version, and ``run`` against its stages.
+
+Null and empty texts pass every stage as they are (null becomes empty where
+substrings are cut) and have no tokens; texts of any length are whole rows.  Of
+rows that repeat an id, all stay or go together in the second stage, and the
+others judge each row.  A null id is kept by the second stage.  Columns of
+documents besides ``doc_id`` and ``text`` travel in one struct, so they may be
+called anything.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +38,8 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=tuple(c for c in docs.columns if c != "doc_id"))
-    return judged.where("kept").select(*docs.columns)
+    judged = quality.classify(_bundled(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("text", "rest"))
+    return _apart(judged.where("kept"), docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +48,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substring.dedup(docs, keep_space=True, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    return _resized(out.withColumn("text", F.col("kept")), docs)
+    out = substring.dedup(_bundled(docs), keep_space=True, carry=("rest",))
+    return _resized(_apart(out.withColumnRenamed("kept", "text"), docs), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +61,17 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
+def _bundled(docs: DataFrame) -> DataFrame:
+    """Id and text, and the other columns as one struct."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(None).cast("int").alias("_")).alias("rest"))
+
+
+def _apart(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of documents again."""
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
+
+
 def _resized(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of documents; n_chars follows the text."""
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
