@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from .relational import merge_gaps, runs
+from .relational import interval_join, merge_gaps, runs
 
 
 def threshold_runs(trials: DataFrame, trial: str, x: str = "x", threshold: float = 3.0, direction: str = "both", center: str = "median", scale: str = "mad") -> DataFrame:
@@ -78,8 +78,9 @@ def artifact_intervals(scored: DataFrame, key: str, idx: str, score: str, limit:
 
 def artifact_metrics(found: DataFrame, samples: DataFrame, key: str, idx: str, t: str, value: str, buffer: int) -> DataFrame:
     """Medians of the buffers before and after, their change, the signed largest deviation and the duration of each interval."""
-    s = samples.select(F.col(key).alias("_k"), F.col(idx).alias("_i"), F.col(t).alias("_t"), F.col(value).alias("_v"))
-    near = found.join(s, (F.col(key) == F.col("_k")) & (F.col("_i") > F.col("start") - buffer) & (F.col("_i") < F.col("stop") + buffer))
+    s = samples.select(key, F.col(idx).alias("_i"), F.col(t).alias("_t"), F.col(value).alias("_v"))
+    wide = found.withColumn("_lo", F.col("start") - buffer + 1).withColumn("_hi", F.col("stop") + buffer - 1)
+    near = interval_join(wide, s, key, "_lo", "_hi", "_i", float(4 * buffer + 64), "inner").drop("_lo", "_hi")
     by = [key, "start", "stop"]
     before = near.groupBy(*by).agg(
         F.median(F.when(F.col("_i") <= F.col("start"), F.col("_v"))).alias("before"), F.median(F.when(F.col("_i") >= F.col("stop"), F.col("_v"))).alias("after"),

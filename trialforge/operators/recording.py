@@ -89,16 +89,30 @@ def downsample_mean(frame: DataFrame, key: str, idx: str, factor: int, *values:
     return out.where(F.col("_n") == factor).drop("_n")
 
 
-def trim_index(frame: DataFrame, start: int, stop: int, idx: str = "idx") -> DataFrame:
+def trim_index(frame: DataFrame, start: int, stop: int, idx: str = "idx", key: str | None = None) -> DataFrame:
+    """Samples ``start`` to before ``stop``; with ``key``, an error if a recording is shorter than that (one aggregate)."""
     if start < 0 or start >= stop:
         raise ValueError("need 0 <= start < stop")
+    if key is not None:
+        last = frame.groupBy(key).agg(F.max(idx).alias("_l")).agg(F.min("_l")).first()[0]
+        if last is not None and stop > last + 1:
+            raise ValueError(f"a recording has {last + 1} samples, fewer than {stop}")
     return frame.where((F.col(idx) >= start) & (F.col(idx) < stop))
 
 
 def trim_time(frame: DataFrame, low: float, high: float, t: str = "t") -> DataFrame:
+    """Samples from ``low`` to ``high``, both included."""
+    if low > high:
+        raise ValueError("bounds are the wrong way round")
     return frame.where(F.col(t).between(low, high))
 
 
+def trim_events(events: DataFrame, trimmed: DataFrame, key: str, t: str = "t", event_t: str = "t") -> DataFrame:
+    """Events between the first and the last sample that trimming left of their recording."""
+    ends = trimmed.groupBy(F.col(key).alias("_k")).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
+    return events.join(ends, (F.col(key) == F.col("_k")) & F.col(event_t).between(F.col("_a"), F.col("_b"))).drop("_k", "_a", "_b")
+
+
 def merge_events(events: DataFrame, labels: list[str], new: str, label: str = "event_type", drop: bool = True) -> DataFrame:
     """Gives several labels one name; with ``drop=False`` the old ones stay beside it.  Duplicates are kept."""
     if drop:
@@ -123,7 +137,8 @@ def rolling(frame: DataFrame, key: str, idx: str, value: str, half: int) -> Data
 
 
 def spearman(frame: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks of ties."""
+    """Rank correlation with average ranks of ties; pairs with a missing value are left out before ranking."""
+    frame = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     w = Window.partitionBy(*by)
 
     def rank(c: str) -> Column:

@@ -113,8 +113,7 @@ def bleaching_fit(spark, d):
 
 @query()
 def cluster_depth(spark, d):
-    rows = matrix(spark, d).where("label in (0, 1)").orderBy("vec_id").select("label", "x").toPandas()  # two groups of one experiment
-    a, b = (np.array(rows.loc[rows.label == k, "x"].tolist()) for k in (0, 1))
+    a, b = comparison.matrices(matrix(spark, d), "label", 0, 1)
     return comparison.cluster_depth(a, b, comparison.permutations(spark))
 
 

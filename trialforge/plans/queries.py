@@ -552,11 +552,10 @@ def artifact_repair(spark, d):
 @query()
 def permutation_test(spark, d):
     """One row per observed cluster with its share of permutations of at least that mass."""
-    rows = matrix(spark, d).where("label in (0, 1)").orderBy("vec_id").select("label", "x").toPandas()  # two groups of one experiment
-    a, b = (np.array(rows.loc[rows.label == k, "x"].tolist()) for k in (0, 1))
+    a, b = comparison.matrices(matrix(spark, d), "label", 0, 1)
     null = comparison.permutation_masses(a, b, comparison.permutations(spark))
     seen = comparison.clusters(_welch(spark, d), comparison.critical(a, b))
-    return seen.join(null.withColumnRenamed("mass", "null_mass"), F.col("null_mass") >= F.col("mass"), "left").groupBy("sign", "start", "stop", "mass").agg((F.count("null_mass") / comparison.PERMUTATIONS).alias("p"))
+    return comparison.cluster_p(seen, null, comparison.PERMUTATIONS)
 
 
 @query()
