@@ -7,11 +7,12 @@ import math
 import numpy as np
 
 
-def resample(x: np.ndarray, down: int, up: int = 1, beta: float = 5.0) -> np.ndarray:
+def resample(x: np.ndarray, down: int, up: int = 1, beta: float = 5.0, line: bool = True) -> np.ndarray:
     """Rate change by up / down through a Kaiser-windowed FIR low-pass; ceil(n up / down) values.
 
-    The line through the end points is taken off before filtering and put back
-    afterwards, so the ends do not fall towards zero.
+    With ``line``, that through the end points is taken off before filtering and
+    put back afterwards, so the ends do not fall towards zero; without it they
+    do.
     """
     if up < 1 or down < 1:
         raise ValueError("factors must be at least 1")
@@ -27,12 +28,14 @@ def resample(x: np.ndarray, down: int, up: int = 1, beta: float = 5.0) -> np.nda
     taps *= up / taps.sum()
     slope = (x[-1] - x[0]) / (n - 1) if n > 1 else 0.0
     stuffed = np.zeros((n - 1) * up + 1)
-    stuffed[::up] = x - (x[0] + slope * np.arange(n))
+    start = x[0] if line else 0.0
+    slope = slope if line else 0.0
+    stuffed[::up] = x - (start + slope * np.arange(n))
     out = -(-n * up // down)
     at = np.arange(out) * down
     y = np.convolve(stuffed, taps)[half:]
     y = np.pad(y, (0, max(0, at[-1] + 1 - len(y))))[at]
-    return y + x[0] + slope * at / up
+    return y + start + slope * at / up
 
 
 def resample_time(t: np.ndarray, down: int, up: int = 1) -> np.ndarray:

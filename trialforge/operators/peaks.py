@@ -127,3 +127,28 @@ def rolling_runs(trials: DataFrame, trial: str, width: int, x: str = "x", thresh
     long = long.select(trial, "i", "v", centers[center](F.col("w")).alias("_c"), scales[scale](F.col("w")).alias("_s"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
     out = runs(long, [trial, "sign"], "i", F.col("sign") * (F.col("v") - F.col("_c")) > threshold * F.col("_s"))
     return out.select(trial, F.when(F.col("sign") > 0, "positive").otherwise("negative").alias("direction"), "start", "stop")
+
+
+# -- results -----------------------------------------------------------------------
+
+
+def detected(trials: DataFrame, trial: str, freq: float, x: str = "x", threshold: float = 3.0, direction: str = "both", center: str = "median", scale: str = "mad", merge: float = 0.0, shortest: float | None = None, longest: float | None = None) -> DataFrame:
+    """Peaks with their metrics, durations given in seconds (cut to whole samples): runs are merged before sizes are looked at; in order of trial and start."""
+    runs_ = merged_close(threshold_runs(trials, trial, x, threshold, direction, center, scale), trial, int(merge * freq))
+    runs_ = sized(runs_, int(shortest * freq) if shortest else None, int(longest * freq) if longest else None)
+    return metrics(runs_, trials, trial, x, 1 / freq).orderBy(trial, "start")
+
+
+def peak_counts(trials: DataFrame, peaks: DataFrame, trial: str) -> DataFrame:
+    """``n_peaks`` of every trial, those without any included."""
+    return trials.select(trial).join(peaks.groupBy(trial).agg(F.count("*").alias("n_peaks")), trial, "left").withColumn("n_peaks", F.coalesce("n_peaks", F.lit(0)).cast("long"))
+
+
+def one_per_trial(peaks: DataFrame, trial: str) -> bool:
+    """Whether no trial has several peaks."""
+    return not peaks.groupBy(trial).count().where("count > 1").limit(1).count()
+
+
+def read_csv(spark, path: str, schema: str) -> DataFrame:
+    """A result table written by ``sinks.write_csv``."""
+    return spark.read.csv(path, header=True, schema=schema)

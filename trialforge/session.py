@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,8 +22,10 @@ def ensure_workers(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (one machine), below a temporary folder."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset on one machine, below a temporary folder (on a cluster that is an error)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_path, "own", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = shared_path.own = f"file://{tempfile.mkdtemp(prefix='trialforge-')}"
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
