@@ -9,7 +9,17 @@ forward score of a node needs only its ancestors, so every shared prefix is
 scored once; the terminal nodes hold the token counts, and a document's count
 is the sum over its pre-tokens.
 
-Null and empty texts have no tokens.  Rows are independent.
+Long pre-tokens share little: where fewer than ``FEW`` words reach a depth, each
+goes on alone from the scores that the trie carried there, with the same sums
+and the same rule for ties, so a run of a million letters costs a few seconds.
+
+The scores are those of the model file.  Those of a BPE model are the ranks of
+its merges: the segmentation is the best sum of them, not that of a tokenizer.
+
+Null and empty texts have no tokens.  Rows are independent: repeated ids or
+texts give repeated rows, a null id is returned as it came.  Only the id and the
+text column are read, so others cannot clash; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,6 +37,8 @@ from . import flat
 from .piece_bpe import BLANK, PieceBpe, _fields, default_model
 from .shared import ID, TEXT, texts
 
+#: Fewer words than this at one depth beyond the longest piece are scored one by one from there on.
+FEW = 48
 #: Score of a byte piece: below any run of ordinary pieces it could replace.
 BYTE_SCORE = -1e6
 
@@ -55,10 +67,11 @@ class Unigram:
 
     @staticmethod
     def key(points: np.ndarray) -> np.uint64:
-        h = np.uint64(len(points))
+        """Hash of a piece, from its last character back; a longer piece goes on from the hash of a shorter one."""
+        h = np.zeros(1, np.uint64)
         for c in points[::-1]:
-            h = flat.mix(np.array([h * flat.K1 + np.uint64(c)], np.uint64))[0]
-        return h
+            h = flat.mix(h * flat.K1 + (c + np.uint64(1)))
+        return h[0]
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each distinct pre-token."""
@@ -69,15 +82,25 @@ class Unigram:
         order = np.argsort(-size, kind="stable")
         at = np.concatenate([[0], np.cumsum(size)])
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        alive = np.searchsorted(-size[order], -np.arange(1, size.max() + 1), side="right")  # words with that many characters
+        deepest = int(size.max())
+        alive = np.searchsorted(-size[order], -np.arange(1, deepest + 1), side="right")  # words with that many characters
         node = np.zeros(n, np.int64)  # of each word (in order) at the last level
         best = [np.zeros(1)]
         used = [np.zeros(1, np.int64)]
         parents: list[np.ndarray] = [np.zeros(1, np.int64)]
         letters: list[np.ndarray] = [np.zeros(1, np.uint64)]
         out = np.zeros(n, np.int64)
-        for depth in range(1, int(size.max()) + 1):
-            m = alive[depth - 1]
+        for depth in range(1, deepest + 1):
+            m = int(alive[depth - 1])
+            if m < FEW and depth > self.longest:  # nothing left to share: each word goes on by itself
+                for j in range(m):
+                    k, up = int(order[j]), int(node[j])
+                    carried = []
+                    for level in range(depth - 1, depth - 1 - self.longest, -1):
+                        carried.append((float(best[level][up]), int(used[level][up])))
+                        up = int(parents[level][up])
+                    out[k] = self._alone(words[k], depth - 1, carried[::-1])
+                break
             letter = points[at[:-1][order[:m]] + depth - 1]
             both, which = np.unique(node[:m].astype(np.uint64) << np.uint64(32) | letter, return_inverse=True)
             node = which
@@ -88,14 +111,10 @@ class Unigram:
             tokens = used[-1][parents[-1]] + width
             up, hash_, level = np.arange(len(both)), np.zeros(len(both), np.uint64), depth
             # the piece of each length that ends here, hashed from its last character back
-            spelled = []
-            for length in range(1, min(depth, self.longest) + 1):
-                spelled.append(letters[level][up])
+            for _ in range(min(depth, self.longest)):
+                hash_ = flat.mix(hash_ * flat.K1 + (letters[level][up] + np.uint64(1)))
                 up = parents[level][up]
                 level -= 1
-                hash_ = np.full(len(both), length, np.uint64)
-                for c in spelled:
-                    hash_ = flat.mix(hash_ * flat.K1 + c)
                 j = np.minimum(np.searchsorted(self.keys, hash_), len(self.keys) - 1)
                 value = np.where(self.keys[j] == hash_, best[level][up] + self.scores[j], -np.inf)
                 better = value > top
@@ -103,12 +122,30 @@ class Unigram:
                 tokens = np.where(better, used[level][up] + 1, tokens)
             best.append(top)
             used.append(tokens)
-            done = alive[depth] if depth < size.max() else 0
+            done = int(alive[depth]) if depth < deepest else 0
             out[order[done:m]] = tokens[node[done:m]]
             if depth > self.longest + 1:  # ancestors out of reach
                 best[depth - self.longest - 1] = used[depth - self.longest - 1] = parents[depth - self.longest - 1] = letters[depth - self.longest - 1] = None
         return out
 
+    def _alone(self, word: str, done: int, carried: list[tuple[float, int]]) -> int:
+        """Tokens of a word whose first ``done`` characters are scored; ``carried`` are the last scores and counts, up to that of ``done``."""
+        score, longest, keep = self.pieces, self.longest, len(carried)
+        best, used = [b for b, _ in carried], [u for _, u in carried]
+        for e in range(done + 1, len(word) + 1):
+            c = word[e - 1]
+            k = 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+            top, tokens = best[-1] + BYTE_SCORE * k, used[-1] + k
+            for m in range(1, longest + 1):
+                s = score.get(word[e - m : e])
+                if s is not None and best[-m] + s > top:
+                    top, tokens = best[-m] + s, used[-m] + 1
+            best.append(top)
+            used.append(tokens)
+            if len(best) > 4096:
+                del best[:-keep], used[:-keep]
+        return used[-1]
+
 
 @lru_cache(maxsize=4)
 def load(path: str) -> Unigram:
