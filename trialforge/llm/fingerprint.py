@@ -9,7 +9,9 @@ shingles.  Two empty sketches resemble each other fully, an empty and another
 not at all.
 
 Words are separated by blanks and ASCII line and page breaks; case matters.
-Null texts count as empty.
+Null texts count as empty, a text of any length is one row.  Equal texts have
+equal sketches; hashes that tie are one hash.  Only the id and the text column
+are read, so other columns cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 K, SHINGLE = 128, 5
+#: Documents of 2 ** BUCKET_BITS neighbouring ids meet in one task: small buckets spread evenly, whatever their number.
+BUCKET_BITS = 7
+#: Buckets that one task may order.
+FEW = 128
 #: Most buckets whose first ids are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_BUCKETS = 500_000
 
@@ -79,27 +85,21 @@ def text_form(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", bits: int = 10) -> DataFrame:
-    """``bucket, last, next_bucket, next_first``: for every bucket of 2^bits ids, the first id of the next bucket that has any; around from the last to the first.
+def _successor(level: DataFrame, bits: int) -> DataFrame:
+    """``k, first, next`` of a table ``k, first``: the first value of the next key in order; null for the last.
 
-    Buckets hold a bounded number of distinct ids, and buckets of buckets are
-    looked at in the same way, so no task orders all ids.
+    Keys meet in buckets of 2 ** bits, and buckets of buckets are looked at in the same way until ``FEW`` are left, so no task orders all of them.
     """
-    level = docs.groupBy(F.shiftright(id_col, bits).alias("b0")).agg(F.min(id_col).alias("first"))
-    return _successor(level, "b0", bits)
+    if level.limit(FEW + 1).count() <= FEW:
+        return level.withColumn("next", F.lead("first").over(Window.orderBy("k")))
+    up = cut(level.groupBy(F.shiftright("k", bits).alias("u")).agg(F.min(F.struct("k", "first"))["first"].alias("first")))
+    above = _successor(up.withColumnRenamed("u", "k"), bits)
+    own = level.withColumn("u", F.shiftright("k", bits)).withColumn("next", F.lead("first").over(Window.partitionBy("u").orderBy("k")))
+    own = own.join(above.select(F.col("k").alias("u"), F.col("next").alias("above")), "u", "left")
+    return own.select("k", "first", F.coalesce("next", "above").alias("next"))
 
 
-def _successor(level: DataFrame, key: str, bits: int) -> DataFrame:
-    """``key, first, next``: first value of the next key in order; null for the last."""
-    up = level.groupBy(F.shiftright(key, bits).alias("_up")).agg(F.min(F.struct(F.col(key).alias("k"), "first"))["first"].alias("first"), F.count("*").alias("c"))
-    own = level.withColumn("_up", F.shiftright(key, bits)).withColumn("next", F.lead("first").over(Window.partitionBy("_up").orderBy(key)))
-    if level.sparkSession is not None and up.limit(2).count() > 1:
-        above = _successor(up.drop("c"), "_up", bits)
-        own = own.join(above.select("_up", F.col("next").alias("above")), "_up", "left").withColumn("next", F.coalesce("next", "above")).drop("above")
-    return own.drop("_up")
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE, bits: int = 10) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE, bits: int = BUCKET_BITS) -> DataFrame:
     """Sketch of each document, of the document with its second half replaced by the start of the next one, and of the next one.
 
     ``id, n_chars, edited, sketch, edited_sketch, next_sketch``.  The next document is the one with the next greater integer id (the first, after the
@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     low = -(1 << 62)
     own = own.withColumn("o", F.coalesce(F.col("i").cast("long"), F.lit(low))).withColumn("b", F.shiftright("o", bits))
-    firsts = _successor(own.groupBy("b").agg(F.min("o").alias("first")), "b", bits)
+    firsts = cut(_successor(cut(own.groupBy(F.col("b").alias("k")).agg(F.min("o").alias("first"))), bits).withColumnRenamed("k", "b"))
     start = firsts.agg(F.min("first").alias("start")).first()["start"]
     if start is None:
         start = low
