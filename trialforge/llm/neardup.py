@@ -58,7 +58,7 @@ BANDS, ROWS, GROUP = 42, 6, 250
 #: Buckets of up to so many classes are compared pair by pair.
 SMALL = 16
 #: Shingles and members of a block, on average.
-BLOCK_SHINGLES, BLOCK = 400_000, 500
+BLOCK_SHINGLES, BLOCK = 400_000, 250
 #: Most ids that are broadcast (about 30 MB).
 BROADCAST_IDS = 500_000
 
