@@ -26,8 +26,10 @@ A text's score adds log10 P(token | token before) over its words and an end
 token; P(w|h) is the discounted bigram share, or the history's backoff weight
 times P(w), which again is the discounted share or the unknown word's.
 
-Null and empty texts hold the end token only.  Rows that repeat an id are
-documents of their own.  With no training tokens every word is unknown and the
+Null and empty texts hold the end token only; a text longer than a unit is a
+unit of its own.  Rows that repeat an id are documents of their own, a null id
+is returned as it came, a null ``held_out`` trains.  Only the named columns are
+read, so others cannot clash; an empty table gives an empty result.  With no training tokens every word is unknown and the
 unknown word has probability one.
 """
 
@@ -292,12 +294,11 @@ def _weights(c: np.ndarray, m: list[np.ndarray], mass: np.ndarray, cut: np.ndarr
     return base, np.where(c > 0, (freed + extra) / np.maximum(base, 1) / np.maximum(1 - mass, 1e-300), 1.0)
 
 
-def _score(folder: str, bits: int, frequent: int, words: Unigrams, cut: np.ndarray, table: dict[int, tuple[float, float]], id_col: str):
+def _score(folder: str, bits: int, frequent: int, words: Unigrams, cut: np.ndarray, wide_table, id_col: str):
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    wide = np.array(sorted(table), np.int64)
-    wide_base, wide_back = (np.array([table[h][k] for h in wide.tolist()], float) for k in (0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide, wide_base, wide_back = wide_table.value
         for name, rows in _groups(batches, "unit"):
             u = Unit(folder, name, [r for r in rows if r[1] == 1], bits)
             bucket, h, w, token, spread, ask, which = u.bigrams(bits, frequent)
@@ -332,7 +333,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     """Trains on the rows where ``held_out`` is not true and scores all: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
     n = partitions(spark)
-    bits = max(3, math.ceil(math.log2(n)))
+    bits = max(3, math.ceil(math.log2(n))) + 2  # buckets small beside a task's memory, and evenly spread
     folder = new_path(spark, "units")
     store.make_folder(folder)
     own = texts(docs, id_col, text_col, F.coalesce(held_out, F.lit(False)).alias("_held"))
@@ -350,9 +351,8 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         got = _unpack(r.blob)
         for k, h in enumerate(got[0].tolist()):
             parts[h] = parts.get(h, 0) + np.array([float(x[k]) for x in got[1:]])
-    table = {}
-    for h, x in parts.items():
-        base, back = _weights(x[:1], [x[1 + r : 2 + r] for r in range(LARGEST)], x[1 + LARGEST : 2 + LARGEST], cut)
-        table[h] = (float(base[0]), float(back[0]))
+    wide = np.array(sorted(parts), np.int64)
+    own_parts = np.array([parts[h] for h in wide.tolist()], float).reshape(len(wide), LARGEST + 2)
+    table = spark.sparkContext.broadcast((wide, *_weights(own_parts[:, 0], [own_parts[:, 1 + r] for r in range(LARGEST)], own_parts[:, 1 + LARGEST], cut)))
     schema = T.StructType([T.StructField(id_col, own.schema[ID].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     return sort(known.union(counted.where("kind = 2")), "unit").mapInArrow(_score(folder, bits, frequent, words, cut, table, id_col), schema)
