@@ -11,13 +11,20 @@ set can hold a window.  Candidate windows are joined with the broadcast window
 table on the words themselves, which confirms them.  One row per hit reaches
 the only shuffle.
 
-The hash set is collected and sent with the plan while the benchmark has at
-most ``SET_LIMIT`` hashes; a larger benchmark is joined on exploded blocks by
-shuffle instead, and Spark then chooses how to join the windows.
-
-Null texts have no words; items without words are ignored; repeated items each
-count by their id; null item ids are left out of the list.  Rows that repeat a
-document id are judged each on its own.
+The hash set and the window table are sent out while the benchmark has at most
+``SET_LIMIT`` hashes and as many rows of windows and items; a larger benchmark
+is joined on exploded blocks by shuffle instead, and Spark then chooses how to
+join the windows.
+
+Null and empty texts have no words; items without words are ignored; repeated
+items each count by their id; null item ids are left out of the list.  Rows
+that repeat a document id are judged each on its own, equal rows alike; a null
+id is an id.  A text of any length is one row whose words are an array.  An
+empty benchmark hits nothing, empty documents give an empty result.  ``report``
+returns its own columns only; ``clean`` returns the columns of the documents,
+whatever they are called.  Rows are numbered within the partitions of the
+input, so that must be a table or a checkpoint: its rows must come in the same
+order when a task runs again.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ID, TEXT, ascii_lower, texts
+from .shared import ID, TEXT, ascii_lower, texts, unused
 
 N = 13
 #: Most hashes that travel with the plan.
@@ -68,7 +75,7 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, id_col: str = "doc_id",
     n_blocks = F.floor(count / block).cast("int")
     hashes = F.when(n_blocks > 0, F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.struct((b * block).alias("b"), F.xxhash64(F.array_join(F.slice("w", b * block + 1, block), " ")).alias("h"))))
     n_hashes, n_heads = blocks.limit(set_limit + 1).count(), heads.limit(set_limit + 1).count()
-    small = n_hashes + n_heads <= set_limit
+    small = n_hashes + n_heads <= set_limit and grams.limit(set_limit + 1).count() <= set_limit
     if small:
         known = [r.h for r in blocks.collect()]
         found = F.filter(hashes, lambda x: x["h"].isin(known)) if known else F.array().cast("array<struct<b:int,h:bigint>>")
@@ -93,7 +100,7 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = N, id_col: str = "doc_id",
     rows = rows.select("uid", ID, "th", "n_words", F.col("c.at").alias("at"), F.col("c.size").alias("size"), F.col("c.window").alias("window"))
     table = grams.withColumnRenamed("size", "gsize")
     if small:
-        table = F.broadcast(table)  # at most one window per hash of the checked set and item
+        table = F.broadcast(table)  # ``set_limit`` rows at most
     joined = rows.join(table.withColumnRenamed("window", "gwindow"), (F.col("window") == F.col("gwindow")) & (F.col("size") == F.col("gsize")), "left")
     return joined.select("uid", ID, "th", "n_words", F.when(F.col("gsize").isNotNull(), F.col("at")).alias("at"), "size", "item")
 
@@ -111,7 +118,7 @@ def report(docs: DataFrame, bench: DataFrame, n: int = N, id_col: str = "doc_id"
     """
     found = hits(docs, bench, n, id_col, text_col, item_col, bench_text, set_limit)
     out = found.groupBy("uid").agg(
-        F.first(ID).alias(id_col), F.first("th").alias("text_hash"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi"))))).alias("marks"), F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.col("item").cast("string")))).alias("items")
+        F.first(ID).alias(ID), F.first("th").alias("text_hash"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi"))))).alias("marks"), F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.col("item").cast("string")))).alias("items")
     )
     merged = F.aggregate(
         "marks", F.array().cast("array<struct<lo:int,hi:int>>"),
@@ -119,7 +126,7 @@ def report(docs: DataFrame, bench: DataFrame, n: int = N, id_col: str = "doc_id"
     )
     out = out.withColumn("spans", F.transform(merged, lambda x: F.struct((x["lo"] - 1).alias("low"), (x["hi"] - 1).alias("high"))))
     out = out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["high"] - x["low"]))
-    return out.select("uid", id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "text_hash")
+    return out.select("uid", F.col(ID).alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "spans", "text_hash")
 
 
 def clean(docs: DataFrame, bench: DataFrame, n: int = N, mode: str = "both", id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", share: int = 20) -> DataFrame:
@@ -130,15 +137,16 @@ def clean(docs: DataFrame, bench: DataFrame, n: int = N, mode: str = "both", id_
     """
     if mode not in ("documents", "spans", "both"):
         raise ValueError(f"unknown mode {mode}")
-    found = report(docs, bench, n, id_col, text_col, item_col, bench_text, share).where("n_hit > 0").select(F.col(id_col).alias("_of"), F.col("text_hash").alias("_th"), F.col("contaminated").alias("_bad"), F.col("spans").alias("_spans")).dropDuplicates(["_of", "_th"])
-    out = docs.join(found, docs[id_col].eqNullSafe(F.col("_of")) & (F.xxhash64(docs[text_col]) == F.col("_th")), "left")
+    of, th, bad, spans = unused(docs.columns, "of", "th", "bad", "spans")
+    found = report(docs, bench, n, id_col, text_col, item_col, bench_text, share).where("n_hit > 0").select(F.col(id_col).alias(of), F.col("text_hash").alias(th), F.col("contaminated").alias(bad), F.col("spans").alias(spans)).dropDuplicates([of, th])
+    out = docs.join(found, docs[id_col].eqNullSafe(F.col(of)) & (F.xxhash64(docs[text_col]) == F.col(th)), "left")
     if mode != "spans":
-        out = out.where(~F.coalesce("_bad", F.lit(False)))
+        out = out.where(~F.coalesce(F.col(bad), F.lit(False)))
     if mode != "documents":
         # words with the separators after them; a leading separator belongs to no word
         word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
         parts = F.regexp_extract_all(F.col(text_col), F.lit(word), F.lit(0))
         lead = F.regexp_extract(F.col(text_col), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-        left = F.filter(parts, lambda x, i: ~F.exists("_spans", lambda s: (s["low"] <= i) & (i < s["high"])))
-        out = out.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(left, ""))))
+        left = F.filter(parts, lambda x, i: ~F.exists(F.col(spans), lambda s: (s["low"] <= i) & (i < s["high"])))
+        out = out.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(left, ""))))
     return out.select(*docs.columns)
