@@ -8,17 +8,19 @@ attempts that were lost are in no index row and are never read.
 Of records with equal payloads (by SHA-256) of at least ``min_bytes`` bytes,
 the one with the smallest id is a response and the others revisit it.  Which is
 which is found on digests alone, with the least id per digest combined
-map-side; a page then meets its digest's least id in a join that Spark may
-split where a payload is frequent.
+map-side; a page then meets the least id of its digest, where that occurs
+twice, in a join that Spark may split where a payload is frequent.
 
 Reading selects index rows, orders them by file and offset, and fetches
 neighbouring records with one read as long as the gap and the range stay
 small.  Payloads are hashed again and compared with the digest.
 
-Null pages have an empty payload; a null URL leaves the header out, line breaks
-in URLs are percent-encoded.  Records with a null id revisit like others but
-are revisited only by each other being responses: they never become the first
-of a group that has an id.  Rows that repeat the least id are all responses.
+Null and empty pages have an empty payload; a page of any length is one record.
+A null URL leaves the header out, line breaks in URLs are percent-encoded.  A
+record with a null id revisits the least id of its payload; if no record of
+that payload has an id, all of them are responses.  Rows that repeat the least
+id are all responses.  Only the three named columns are read, so others cannot
+clash; an empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -117,8 +119,9 @@ def write(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col
     store.make_folder(folder)
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     own = own.withColumn("key", F.when(F.octet_length("html") >= min_bytes, F.sha2("html", 256)))
-    least = own.where("key is not null").groupBy("key").agg(F.min("page_id").alias("least"))
-    joined = own.join(least, "key", "left")
+    # a table of its own: Spark can then split the join where a payload is frequent
+    least = written(own.where("key is not null").groupBy("key").agg(F.min("page_id").alias("least"), F.count("*").alias("c")).where("c > 1").drop("c"), "warc-least")
+    joined = own.withColumn("key", F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("page_id", "url")))).join(least, "key", "left")
     first = F.when(F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))
     rows = joined.select("page_id", "url", "html", first.alias("first"))
     return folder, written(rows.mapInArrow(_write(folder, date), _INDEX), "warc-index")
