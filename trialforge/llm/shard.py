@@ -12,7 +12,10 @@ and the parts' running counts (a skinny table, one row per part) are added.
 No task sees a whole shard.
 
 A null key is a key of its own; rows that repeat a key go to the same shard and
-take adjoining places.  A null text has no bytes.
+take adjoining places.  A null or empty text has no bytes, a text of any length
+is one row; ties of a draw go to the shard of the lower number.  Only the key
+and the text column are read, so others cannot clash; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
