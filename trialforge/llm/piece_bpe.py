@@ -35,7 +35,7 @@ from . import flat
 #: Segments longer than this are merged with a heap.
 LONG = 256
 #: Encoded segments that a task remembers.
-REMEMBERED = 60_000
+REMEMBERED = 40_000
 BLANK = "▁"
 _NONE = np.int64(1) << np.int64(62)
 
@@ -373,7 +373,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in flat.slices(batch, text_col):
+            for part in flat.slices(batch, text_col, flat.SLICE_BYTES // 2):
                 ids, offsets = bpe.encode(part.column(part.schema.get_field_index(text_col)))
                 more = {ids_col: flat.list_array(ids, offsets)}
                 if decoded_col:

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import flat
 from .shared import ID, TEXT, cut, texts
@@ -257,7 +258,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     often = Counter(r[ID] for r in drawn)
     drawn = [r for r in drawn[:trained] if often[r[ID]] == 1]
     drawn = [r[ID] for r, total in zip(drawn, np.cumsum([r["most"] for r in drawn]), strict=True) if total <= FEATURES]
-    sample = docs.sparkSession.createDataFrame([(x,) for x in drawn], T.StructType([T.StructField("_s", kind)]))
+    sample = docs.sparkSession.createDataFrame(pa.table({"_s": pa.array(drawn, to_arrow_type(kind))}))
     chosen = own.join(F.broadcast(sample), own[ID] == F.col("_s")).select(F.xxhash64(ID).alias("h"), TEXT)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
