@@ -155,3 +155,9 @@ def test_simulated_source_and_preprocessing(spark):
     with pytest.raises(ValueError):
         experiment.preprocess(s, "recording_id", "t", "raw_signal", None, fit="OLS")
     assert experiment.grid(-1, 2, 10) == (-10, 20)
+
+
+def test_csv_flags_take_counts(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("time,sig,cue\n0,1,0\n1,1,2\n2,1,\n3,1,True\n4,1,0.0\n5,1,False\n6,1,1\n")
+    _, _, found = recordings.read_csv(spark, str(tmp_path / "r.csv"), "time", "sig", events=["cue"])
+    assert sorted(r.t for r in found.collect()) == [1.0, 3.0, 6.0]

@@ -20,17 +20,31 @@ def lowpass_sections(order: int, cutoff: float, fs: float) -> list[tuple[np.ndar
     return out
 
 
-def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One section, started in the steady state of its first value."""
+def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, block: int = 256) -> np.ndarray:
+    """One section, started in the steady state of its first value.
+
+    Blocks of samples are filtered at once by the section's impulse response;
+    only its two states pass from block to block.
+    """
+    n = len(x)
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    feed = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    shown = np.array([p[0] for p in powers[:block]])  # what a state adds to each output of a block
+    inner = np.concatenate([[b[0]], [p[0] @ feed for p in powers[: block - 1]]])
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    response = np.where(lag >= 0, inner[np.maximum(lag, 0)], 0.0)
+    left = np.array([p @ feed for p in powers[:block][::-1]])  # what each input leaves in the state
+    rows = np.pad(x, (0, -n % block)).reshape(-1, block)
     z2 = (b[2] - a[2] * b.sum() / a.sum()) * x[0]
-    z1 = (b[1] - a[1] * b.sum() / a.sum()) * x[0] + z2
-    b0, b1, b2, a1, a2 = *b.tolist(), a[1], a[2]
-    y = []
-    for v in x.tolist():
-        o = b0 * v + z1
-        z1, z2 = b1 * v - a1 * o + z2, b2 * v - a2 * o
-        y.append(o)
-    return np.array(y)
+    state = np.array([(b[1] - a[1] * b.sum() / a.sum()) * x[0] + z2, z2])
+    added, states = rows @ left, np.empty((len(rows), 2))
+    for k in range(len(rows)):
+        states[k] = state
+        state = powers[block] @ state + added[k]
+    return (rows @ response.T + states @ shown.T).ravel()[:n]
 
 
 def lowpass(x: np.ndarray, fs: float, cutoff: float | None = 3.0, order: int = 4) -> np.ndarray:

@@ -15,14 +15,15 @@ from pyspark.sql.types import StructType
 
 from ..operators.recording import frequency
 
-TRUE = ("1", "1.0", "true", "t", "yes")
+#: Texts of a flag that is off; a number is off if it is zero, anything else is on.
+OFF = ("", "false", "nan")
 
 
 def read_csv(spark: SparkSession, path: str | list[str], time: str, signal: str, isosbestic: str | None = None, events: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Recordings, samples and events of CSV files, one recording per file.
 
-    Event columns are flags (0/1, blank, true/false); a blank is false.  A
-    missing signal column is a ValueError, a missing time or event column a
+    Event columns are flags: zero, blank and false are off, any other value
+    (such as a count) is on.  A missing signal column is a ValueError, a missing time or event column a
     KeyError, a missing isosbestic column makes a single channel.  The files
     must share their columns; ``idx`` follows the time, not the place in a file,
     so files may be split over tasks.
@@ -35,7 +36,8 @@ def read_csv(spark: SparkSession, path: str | list[str], time: str, signal: str,
         if c not in raw.columns:
             raise KeyError(c)
     has_iso = isosbestic is not None and isosbestic in raw.columns
-    flags = [F.coalesce(F.lower(F.trim(F.col(f"`{c}`"))).isin(*TRUE), F.lit(False)).alias(c) for c in events or []]
+    text = lambda c: F.lower(F.trim(F.col(f"`{c}`")))
+    flags = [F.coalesce(~text(c).isin(*OFF) & ~F.coalesce(text(c).try_cast("double") == 0, F.lit(False)), F.lit(False)).alias(c) for c in events or []]
     source = F.col("_metadata.file_path").alias("source")
     typed = raw.select(source, F.col(f"`{time}`").cast("double").alias("t"), F.col(f"`{signal}`").cast("double").alias("raw_signal"), (F.col(f"`{isosbestic}`").cast("double") if has_iso else F.lit(None).cast("double")).alias("raw_isosbestic"), *flags)
     samples = typed.select("source", (F.row_number().over(Window.partitionBy("source").orderBy("t")) - 1).cast("long").alias("idx"), "t", "raw_signal", "raw_isosbestic")
