@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -20,31 +22,37 @@ def lowpass_sections(order: int, cutoff: float, fs: float) -> list[tuple[np.ndar
     return out
 
 
-def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray, block: int = 256) -> np.ndarray:
-    """One section, started in the steady state of its first value.
-
-    Blocks of samples are filtered at once by the section's impulse response;
-    only its two states pass from block to block.
-    """
-    n = len(x)
+@lru_cache(maxsize=64)
+def _block(b: tuple[float, ...], a: tuple[float, ...], size: int) -> tuple[np.ndarray, ...]:
+    """Of a block of samples: its response to its own inputs, what a state adds to its outputs, what its inputs leave in the state, and the state's passage through it."""
     step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
     feed = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
     powers = [np.eye(2)]
-    for _ in range(block):
+    for _ in range(size):
         powers.append(step @ powers[-1])
-    shown = np.array([p[0] for p in powers[:block]])  # what a state adds to each output of a block
-    inner = np.concatenate([[b[0]], [p[0] @ feed for p in powers[: block - 1]]])
-    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    inner = np.concatenate([[b[0]], [p[0] @ feed for p in powers[: size - 1]]])
+    lag = np.arange(size)[:, None] - np.arange(size)[None, :]
     response = np.where(lag >= 0, inner[np.maximum(lag, 0)], 0.0)
-    left = np.array([p @ feed for p in powers[:block][::-1]])  # what each input leaves in the state
-    rows = np.pad(x, (0, -n % block)).reshape(-1, block)
+    return response.T, np.array([p[0] for p in powers[:size]]).T, np.array([p @ feed for p in powers[:size][::-1]]), powers[size]
+
+
+def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One section, started in the steady state of its first value.
+
+    Blocks of samples are filtered at once; only the section's two states pass
+    from block to block.
+    """
+    n = len(x)
+    size = 32 if n <= 1024 else 256
+    response, shown, left, passage = _block(tuple(b.tolist()), tuple(a.tolist()), size)
+    rows = np.pad(x, (0, -n % size)).reshape(-1, size)
     z2 = (b[2] - a[2] * b.sum() / a.sum()) * x[0]
     state = np.array([(b[1] - a[1] * b.sum() / a.sum()) * x[0] + z2, z2])
     added, states = rows @ left, np.empty((len(rows), 2))
     for k in range(len(rows)):
         states[k] = state
-        state = powers[block] @ state + added[k]
-    return (rows @ response.T + states @ shown.T).ravel()[:n]
+        state = passage @ state + added[k]
+    return (rows @ response + states @ shown).ravel()[:n]
 
 
 def lowpass(x: np.ndarray, fs: float, cutoff: float | None = 3.0, order: int = 4) -> np.ndarray:
