@@ -7,8 +7,6 @@ import pytest
 
 import __spark_entry__
 from trialforge import sim
-from trialforge.llm import neardup, quality
-from trialforge.llm.shared import texts
 from trialforge.kernels import special
 from trialforge.operators import comparison, experiment, trials
 
@@ -56,24 +54,6 @@ def test_event_kernels_keep_their_tails(spark):
         sim.kernel_taps(spark, 20, lambda t: sim.exp_kernel(t, 1.0, 500.0))
 
 
-def test_every_toxic_word_is_listed(spark):
-    words = {f"{k:04d}zz" for k in range(6000)}
-    docs = spark.createDataFrame([(i, " ".join(sorted(words))) for i in range(5)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, toxic int")
-    listed, beginnings = quality._listed(texts(docs, "doc_id", "text"), labels, "doc_id", "toxic")
-    assert listed == words and beginnings == {x[:m] for x in words for m in (4, 5)}
-
-
-def test_quality_returns_the_posteriors_of_the_votes(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    got = run(spark, "op5_quality_classifier").toPandas().set_index("doc_id").sort_index()
-    assert got.columns.tolist() == ["n_words", "weak_junk", "weak_toxic", "junk", "toxic", "kept"] and got[["weak_junk", "weak_toxic"]].stack().between(0, 1).all()
-    insulting = [r.doc_id for r in docs.collect() if "idiot" in (r.text or "").lower().split()]
-    assert insulting and (got.weak_toxic[insulting] > 0.5).all() and got.weak_toxic.median() < 0.5
-    alone = quality.classify(docs, labels).toPandas().set_index("doc_id").sort_index()
-    assert alone.equals(got.drop(columns=["weak_junk", "weak_toxic"]))
-
-
 def test_permutations_and_critical_t_are_the_defaults(spark):
     rng = np.random.default_rng(4)
     a, b = rng.standard_normal((9, 20)), 2 * rng.standard_normal((14, 20))
@@ -98,14 +78,6 @@ def test_permutation_query_resolves_one_in_2000(spark):
     assert got and all(np.isclose(r.p, (null >= r.mass).mean(), atol=1e-3) for r in got)
 
 
-def test_stated_misses_of_short_texts():
-    sets = [np.random.default_rng(k).integers(0, 1 << 63, 5, dtype=np.uint64) for k in range(3000)]
-    a, b = (neardup._bands([np.sort(s[:n]) for s in sets], neardup.BANDS, neardup.ROWS) for n in (4, 5))
-    assert abs((a == b).mean() - 0.6**3) < 0.01  # not 0.64 ** 3, as if minimum and maximum were independent
-    miss = {(c, n): (1 - (c * (c - 1) / (n * (n - 1))) ** 3) ** neardup.BANDS for n in range(2, 200) for c in range(1, n) if 10 * c >= 8 * n}
-    assert max(miss, key=miss.get) == (4, 5) and f"{miss[4, 5]:.1e}" == "3.6e-05" and "3.6e-5 at 4 of 5" in neardup.__doc__
-
-
 def test_a_cutoff_beyond_the_sampling_is_an_error(spark):
     s = spark.createDataFrame([(1, k / 6, float(k % 5), float(k % 7)) for k in range(60)], "k int, t double, y double, x double")
     with pytest.raises(Exception, match="samples a second"):
