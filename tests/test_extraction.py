@@ -193,3 +193,21 @@ def test_peak_results(spark, tmp_path):
     got.coalesce(1).write.csv(str(tmp_path / "p"), header=True)
     back = peaks.read_csv(spark, str(tmp_path / "p"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in got.schema))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_preprocessing_detects_and_corrects(spark):
+    rng = np.random.default_rng(3)
+    n = 1200
+    t = np.arange(n) / 20
+    iso = 50 + 5 * np.exp(-t / 30) + 0.01 * rng.standard_normal(n)
+    y = 1.2 * iso + 0.01 * rng.standard_normal(n)
+    y[600:606] += 40.0
+    s = spark.createDataFrame([(1, float(t[i]), float(y[i]), float(iso[i])) for i in range(n)], "k int, t double, y double, x double").cache()
+    options = {"cutoff": None, "fit": "IRLS", "correction": "dF"}
+    plain, none = artifacts.preprocessed(s, "k", "t", "y", "x", **options)
+    assert none is None and plain.agg(F.max("processed")).first()[0] > 30
+    detector = lambda p: artifacts.detect(p, "k", "idx", "t", "processed", expand=(3, 3), buffer=20, chunks=10).withColumn("type", F.lit("spike"))
+    corrector = lambda p, f: artifacts.correct(p, f, "k", "idx", "t", "processed", (5, 5), 20)
+    out, found = artifacts.preprocessed(s, "k", "t", "y", "x", detector, corrector, **options)
+    assert [(r.start <= 600 and r.stop >= 606) for r in found.collect()] == [True]
+    assert out.count() == n and out.agg(F.max(F.abs("processed"))).first()[0] < 1

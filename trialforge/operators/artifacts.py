@@ -8,12 +8,15 @@ any function ``(samples, intervals) -> samples``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import signal as kernels
+from .experiment import preprocess
 from .peaks import artifact_intervals, artifact_metrics
 from .recording import difference, mad_scores, spearman
 from .relational import interval_join
@@ -119,3 +122,24 @@ def correct(samples: DataFrame, found: DataFrame, key: str, idx: str, t: str, va
     kinds = {c: own.schema[c].dataType.simpleString() for c in (key, idx, t)}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", `{name}` double"
     return own.groupBy(key).cogroup(found.select(F.col(key).alias("_of"), "start", "stop", "type").groupBy("_of")).applyInPandas(run, schema)
+
+
+def preprocessed(samples: DataFrame, key: str, t: str, raw: str, reference: str | None = None, detector: Callable[[DataFrame], DataFrame] | None = None, corrector: Callable[[DataFrame, DataFrame], DataFrame] | None = None, **options) -> tuple[DataFrame, DataFrame | None]:
+    """Preprocessing, then detection on the processed signal and correction: the samples (``key, idx, t, filtered, fitted_ref, processed``) and the intervals.
+
+    The detector gets the processed samples, by default none runs; ``detect``
+    fits with ``value="processed"`` and, for two channels,
+    ``reference="fitted_ref"``.  The corrector gets samples and intervals and
+    returns ``key, idx`` and ``corrected``, which replaces the signal.  Several
+    steps read the processed samples: cache or write them if they are many.
+    """
+    out = preprocess(samples, key, t, raw, reference, **options)
+    out = out.withColumn("idx", (F.row_number().over(Window.partitionBy(key).orderBy(t)) - 1).cast("long"))
+    if detector is None:
+        return out, None
+    found = detector(out)
+    if corrector is None:
+        return out, found
+    mended = corrector(out, found).select(F.col(key).alias("_of"), F.col("idx").alias("_i"), F.col("corrected").alias("_c"))
+    out = out.join(mended, (F.col(key) == F.col("_of")) & (F.col("idx") == F.col("_i"))).withColumn("processed", F.col("_c")).drop("_of", "_i", "_c")
+    return out, found
