@@ -106,6 +106,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+# CRC-32 in SQL: blocks of 256 bytes by a byte table, the blocks joined through the images of the 32 bits under 256 zero bytes
+ORACLES["op10_sharding"] = r"""
+WITH t AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+z AS (SELECT list(list_reduce(list_concat([1::BIGINT << i], range(256)), lambda a, b: xor(a >> 8, t[1 + (a & 255)])) ORDER BY i) AS z FROM range(32) r(i), t),
+d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, chr(0) || 'null') AS key FROM documents),
+h AS (SELECT k, hex(encode(text)) AS x, strlen(text) AS n FROM d),
+c AS (SELECT k, j, substr(x, CASE WHEN j = 0 THEN 1 ELSE 1 + 2 * (n % 256 + (j - 1) * 256) END, CASE WHEN j = 0 THEN 2 * (n % 256) ELSE 512 END) AS x FROM (SELECT *, unnest(range(0, n // 256 + 1)) AS j FROM h)),
+v AS (SELECT k, j, list_reduce(list_concat([CASE WHEN j = 0 THEN 4294967295 ELSE 0 END::BIGINT], list_transform(range(1, length(x), 2), lambda p: ('0x' || substr(x, p, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])) AS v FROM c, t),
+e AS (SELECT k, xor(4294967295, list_reduce(list(v ORDER BY j), lambda a, b: xor(b, list_aggregate(list_transform(range(0, 32), lambda i: ((a >> i) & 1) * z[i + 1]), 'bit_xor')))) AS text_crc32 FROM v, z GROUP BY k, z),
+q AS (SELECT k, list_transform(range(0, 17), lambda s: ('0x' || substr(md5(key || '|' || s), 1, 15))::BIGINT) AS q FROM d),
+o AS (SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, text_crc32, (list_position(q[1:16], list_max(q[1:16])) - 1)::INTEGER AS shard, (list_position(q, list_max(q)) - 1)::INTEGER AS grown_shard, md5(key) AS place FROM d JOIN e USING (k) JOIN q USING (k))
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, text_crc32) - 1)::BIGINT AS slot, grown_shard FROM o
+"""
+
+
 @query
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
