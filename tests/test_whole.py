@@ -20,12 +20,12 @@ def run(spark, name):
 def test_long_traces_of_every_supplier(spark):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").toPandas()
     want = Counter((o, n, c, v) for c in ("l_quantity", "l_extendedprice", "l_discount") for o, n, v in zip(rows.l_orderkey, rows.l_linenumber, rows[c], strict=True))
-    assert rows.l_suppkey.max() > 5 and Counter(tuple(r) for r in run(spark, "export_long_traces").collect()) == want
+    assert rows.l_suppkey.max() > 5 and Counter(tuple(r) for r in run(spark, "unpivot_traces").collect()) == want
 
 
 def test_wide_form_has_every_point(spark):
     want = {r.vec_id: (r.label, *map(float, r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
-    got = run(spark, "to_wide_axis")
+    got = run(spark, "to_wide")
     assert got.columns == ["vec_id", "label"] + [f"t_{k}" for k in range(1, 65)]
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
     ragged = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0, 3.0]), (2, None)], "k int, x array<double>")
@@ -35,7 +35,7 @@ def test_wide_form_has_every_point(spark):
 def test_long_form_of_every_trial(spark):
     own = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     want = {(r.vec_id, k, float(v)) for r in own for k, v in enumerate(r.embedding)}
-    assert {tuple(r) for r in run(spark, "to_long_trials").collect()} == want and len({r.label for r in own}) > 1
+    assert {tuple(r) for r in run(spark, "to_long").collect()} == want and len({r.label for r in own}) > 1
     assert {r.vec_id for r in run(spark, "filter_trials").collect()} == {r.vec_id for r in own if r.label == 3}
 
 
@@ -47,7 +47,7 @@ def test_event_kernels_keep_their_tails(spark):
     want = np.zeros(600)
     for first in (40, 70, 201):
         want[first : first + taps] += g[:taps]
-    got = np.array([r.event for r in run(spark, "sim_event_layer").orderBy("idx").collect()])
+    got = np.array([r.event for r in run(spark, "sim_event_kernel").orderBy("idx").collect()])
     assert np.abs(got - want).max() < 1e-8 and got[201 + 200] > 0
     assert sim.kernel_taps(spark, 20, lambda t: sim.exp_kernel(t, -1.0, 1.0)) == 185
     with pytest.raises(ValueError):

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from .. import simulation
 from ..operators import artifacts, comparison, extraction, peaks, pointwise, recording, relational, trials, trialset
 from ..plans import pipeline as pipelines
-from .more import _MIX
 from .queries import _A, _AM, _G, L, S, X, matrix, query, r, read, samples
 
 HOUR, HALF = 3600.0, 43200.0
@@ -187,14 +186,6 @@ def pointwise_mixed_model(spark, d):
     return pointwise.fit(long, {"label": F.col("label")}, subject="subject")
 
 
-@query(_MIX + ", q AS (SELECT sum(y) ** 2 / count(*) AS q FROM c), gl AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY g, l)), gg AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY g)), ll AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY l)), ss AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY l_suppkey)), yy AS (SELECT sum(y * y) AS q FROM c), t AS (SELECT gl.q - gg.q - ll.q + q.q AS i, yy.q - ss.q - gl.q + gg.q AS e, (gg.m - 1) * (ll.m - 1) AS d1, (ss.m - gg.m) * (ll.m - 1) AS d2 FROM q, gl, gg, ll, ss, yy) SELECT 'interaction' AS source, round(i, 4) + 0.0 AS ss, d1::BIGINT AS df1, d2::BIGINT AS df2, round((i / d1) / (e / d2), 4) + 0.0 AS f, round(i / (i + e), 6) + 0.0 AS np2 FROM t")
-def anova_interaction(spark, d):
-    """The interaction of the mixed design as the remainder of the total sum of squares."""
-    rows = read(spark, d, "lineitem").withColumn("g", F.col("l_suppkey") % 3)
-    a = comparison.anova_mixed(rows, "l_quantity", "g", "l_returnflag", "l_suppkey").where("source = 'interaction'")
-    return a.select("source", r("ss", 4).alias("ss"), "df1", "df2", r("f", 4).alias("f"), r("np2").alias("np2"))
-
-
 @query()
 def anova_two_way(spark, d):
     return comparison.anova(read(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"], 2)

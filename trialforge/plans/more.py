@@ -33,11 +33,14 @@ def threshold_peaks_rolling(spark, d):
 _MIX = "WITH c0 AS (SELECT l_suppkey, l_suppkey % 3 AS g, l_returnflag AS l, avg(l_quantity) AS y FROM lineitem GROUP BY ALL), o AS (SELECT l_suppkey FROM c0 GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT l) FROM c0)), c AS (SELECT c0.* FROM c0 JOIN o USING (l_suppkey)), w AS (SELECT *, avg(y) OVER () AS m, avg(y) OVER (PARTITION BY g) AS mg, avg(y) OVER (PARTITION BY l) AS ml, avg(y) OVER (PARTITION BY g, l) AS mgl, avg(y) OVER (PARTITION BY l_suppkey) AS ms FROM c), s AS (SELECT sum((mg - m) ** 2) AS b, sum((ms - mg) ** 2) AS es, sum((ml - m) ** 2) AS wi, sum((mgl - mg - ml + m) ** 2) AS ia, sum((y - ms - mgl + mg) ** 2) AS ew, count(DISTINCT g) AS kg, count(DISTINCT l) AS kl, count(DISTINCT l_suppkey) AS n FROM w), u AS (SELECT 'between' AS source, b AS ss, kg - 1 AS df1, n - kg AS df2, es AS e FROM s UNION ALL SELECT 'within', wi, kl - 1, (n - kg) * (kl - 1), ew FROM s)"
 
 
-@query(_MIX + " SELECT source, round(ss, 4) + 0.0 AS ss, df1::BIGINT AS df1, df2::BIGINT AS df2, round((ss / df1) / (e / df2), 4) + 0.0 AS f, round(ss / (ss + e), 6) + 0.0 AS np2 FROM u")
+#: The interaction as the remainder of the total sum of squares, as in an unbalanced design it has no orthogonal form.
+_CROSSED = ", q AS (SELECT sum(y) ** 2 / count(*) AS q FROM c), gl AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY g, l)), gg AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY g)), ll AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY l)), ss AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY l_suppkey)), yy AS (SELECT sum(y * y) AS q FROM c), t AS (SELECT gl.q - gg.q - ll.q + q.q AS i, yy.q - ss.q - gl.q + gg.q AS e, (gg.m - 1) * (ll.m - 1) AS d1, (ss.m - gg.m) * (ll.m - 1) AS d2 FROM q, gl, gg, ll, ss, yy)"
+
+
+@query(_MIX + _CROSSED + " SELECT source, round(ss, 4) + 0.0 AS ss, df1::BIGINT AS df1, df2::BIGINT AS df2, round((ss / df1) / (e / df2), 4) + 0.0 AS f, round(ss / (ss + e), 6) + 0.0 AS np2 FROM u UNION ALL SELECT 'interaction' AS source, round(i, 4) + 0.0 AS ss, d1::BIGINT AS df1, d2::BIGINT AS df2, round((i / d1) / (e / d2), 4) + 0.0 AS f, round(i / (i + e), 6) + 0.0 AS np2 FROM t")
 def anova_mixed(spark, d):
-    """The two main effects; the interaction of an unbalanced design has no orthogonal form (its test is on a balanced table)."""
     rows = read(spark, d, "lineitem").withColumn("g", F.col("l_suppkey") % 3)
-    a = comparison.anova_mixed(rows, "l_quantity", "g", "l_returnflag", "l_suppkey").where("source <> 'interaction'")
+    a = comparison.anova_mixed(rows, "l_quantity", "g", "l_returnflag", "l_suppkey")
     return a.select("source", r("ss", 4).alias("ss"), "df1", "df2", r("f", 4).alias("f"), r("np2").alias("np2"))
 
 

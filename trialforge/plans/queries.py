@@ -162,14 +162,8 @@ def spearman_by_group(spark, d):
 _TRACES = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
-@query("SELECT l_orderkey, l_linenumber, source, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem WHERE l_suppkey <= 5) UNPIVOT (value FOR source IN (l_quantity, l_extendedprice, l_discount))")
-def unpivot_traces(spark, d):
-    """The probe of five suppliers that its SQL fixes; ``export_long_traces`` is the whole table."""
-    return sinks.long(read(spark, d, "lineitem").where("l_suppkey <= 5"), ["l_orderkey", "l_linenumber"], _TRACES)
-
-
 @query("SELECT l_orderkey, l_linenumber, source, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem) UNPIVOT INCLUDE NULLS (value FOR source IN (l_quantity, l_extendedprice, l_discount))")
-def export_long_traces(spark, d):
+def unpivot_traces(spark, d):
     return sinks.long(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], _TRACES)
 
 
@@ -292,14 +286,8 @@ for _how, _sql in _NORM.items():
     _normalised(_how, _sql)
 
 
-@query(L + " SELECT vec_id, time_idx, v AS signal FROM l WHERE label = 3")
-def to_long(spark, d):
-    """The trials of one label, which its SQL fixes; ``to_long_trials`` has them all."""
-    return trials.to_long(trials.filter_rows(matrix(spark, d), F.col("label") == 3), ["vec_id"])
-
-
 @query(L + " SELECT vec_id, time_idx, v AS signal FROM l")
-def to_long_trials(spark, d):
+def to_long(spark, d):
     return trials.to_long(matrix(spark, d), ["vec_id"])
 
 
@@ -308,14 +296,8 @@ def filter_trials(spark, d):
     return trials.filter_rows(matrix(spark, d), F.col("label") == 3).select("vec_id", "label")
 
 
-@query(X + " SELECT vec_id, label, " + ", ".join(f"x[{k}] AS t_{k}" for k in range(1, 9)) + " FROM x")
-def to_wide(spark, d):
-    """The first eight points, which its SQL fixes; ``to_wide_axis`` has them all."""
-    return trials.to_wide(matrix(spark, d), ["vec_id", "label"], 8)
-
-
 @query(X + " SELECT vec_id, label, " + ", ".join(f"x[{k}] AS t_{k}" for k in range(1, 65)) + " FROM x")
-def to_wide_axis(spark, d):
+def to_wide(spark, d):
     return trials.to_wide(matrix(spark, d), ["vec_id", "label"])
 
 
@@ -352,17 +334,17 @@ def window_interp(spark, d):
     return trials.to_long(own.withColumn("x", vec.interpolate(F.col("x"), at)), ["vec_id"]).select("vec_id", "time_idx", r("signal").alias("signal"))
 
 
-@query("SELECT vec_id, label * 2 AS twice, 'label: ' || label AS name FROM embeddings WHERE label < 5 UNION ALL SELECT vec_id, label * 2, NULL FROM embeddings WHERE label >= 8")
+@query("SELECT vec_id, label * 2 AS twice, 'label: ' || label AS name FROM embeddings WHERE label < 5 UNION ALL SELECT vec_id, label * 2, NULL FROM embeddings WHERE label >= 5")
 def union_trials_outer(spark, d):
     t = trials.mutate(matrix(spark, d), twice=lambda f: f["label"] * 2)
     a = trials.labels(t.where("label < 5").withColumn("k", F.col("label")), ["label"]).select("vec_id", "twice", F.col("label").alias("name"))
-    return trials.union_trials(a, t.where("label >= 8").select("vec_id", "twice"), "outer")
+    return trials.union_trials(a, t.where("label >= 5").select("vec_id", "twice"), "outer")
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE label < 3 UNION ALL SELECT vec_id, label FROM embeddings WHERE label > 6")
+@query("SELECT vec_id, label FROM embeddings WHERE label < 3 UNION ALL SELECT vec_id, label FROM embeddings WHERE label >= 3")
 def union_trials_inner(spark, d):
     t = matrix(spark, d)
-    return trials.union_trials(t.where("label < 3").select("vec_id", "label"), t.where("label > 6").select("vec_id", "label", F.lit(1).alias("extra")))
+    return trials.union_trials(t.where("label < 3").select("vec_id", "label"), t.where("label >= 3").select("vec_id", "label", F.lit(1).alias("extra")))
 
 
 # -- peaks and artifacts ------------------------------------------------------------
@@ -499,15 +481,8 @@ def sim_bleaching(spark, d):
     return sim.time_base(spark, 30, 20).withColumn("base", r(sim.bleaching(F.col("t"))))
 
 
-@query("WITH o AS (SELECT unnest([2.0, 3.5, 10.02]) AS o), k AS (SELECT (ceil(o * 20) + j)::BIGINT AS idx, 0.02 * ((j / 20.0) / 2) ** 2 * exp(2 - j / 20.0) AS v FROM o, range(100) r(j)), e AS (SELECT idx, sum(v) AS v FROM k GROUP BY idx) SELECT i::BIGINT AS idx, round(coalesce(v, 0), 8) + 0.0 AS event FROM range(600) r(i) LEFT JOIN e ON i = idx")
-def sim_event_kernel(spark, d):
-    """Kernels cut after the 100 samples that its SQL fixes; ``sim_event_layer`` has their tails."""
-    out = sim.event_layer(sim.time_base(spark, 30, 20), [2.0, 3.5, 10.02], 20, 100, sim.gamma_kernel)
-    return out.select("idx", r("event", 8).alias("event"))
-
-
 @query("WITH o AS (SELECT unnest([2.0, 3.5, 10.02]) AS o), g AS (SELECT j, 0.02 * ((j / 20.0) / 2) ** 2 * exp(2 - j / 20.0) AS v FROM range(20000) r(j)), c AS (SELECT * FROM g WHERE j <= (SELECT max(j) FROM g WHERE v > 1e-4 * (SELECT max(v) FROM g))), k AS (SELECT (ceil(o * 20) + j)::BIGINT AS idx, v FROM o, c), e AS (SELECT idx, sum(v) AS v FROM k GROUP BY idx) SELECT i::BIGINT AS idx, round(coalesce(v, 0), 8) + 0.0 AS event FROM range(600) r(i) LEFT JOIN e ON i = idx")
-def sim_event_layer(spark, d):
+def sim_event_kernel(spark, d):
     out = sim.event_layer(sim.time_base(spark, 30, 20), [2.0, 3.5, 10.02], 20, None, sim.gamma_kernel)
     return out.select("idx", r("event", 8).alias("event"))
 
