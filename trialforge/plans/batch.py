@@ -5,11 +5,10 @@ from __future__ import annotations
 import inspect
 import itertools
 import traceback
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def permutations_of(options: dict[str, list], defaults: dict | None = None) -> dict[str, dict]:
@@ -45,19 +44,19 @@ def check_arguments(f: Callable, given: dict, taken: int = 1) -> None:
 def run(samples: DataFrame, key: str, job: Callable[..., pd.DataFrame], configs: dict[str, dict], schema: str) -> DataFrame:
     """``job(recording, **config)`` for every recording and configuration.
 
-    One task group per (recording, configuration); a job that raises yields one
-    row whose ``error`` holds the last line of its traceback and no result.
+    The configurations of a recording share one copy of its rows and hand over
+    one result at a time; a job that raises yields one row whose ``error``
+    holds the last line of its traceback and no result.
     Returns ``config, key, error`` and the columns of ``schema``.
     """
     for config in configs.values():
         check_arguments(job, config)
     columns = samples.sparkSession.createDataFrame([], schema).columns
-    names = F.explode(F.array(*[F.lit(n) for n in configs])).alias("config")
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        name, of = p["config"].iloc[0], p[key].iloc[0]
+    def one(name: str, p: pd.DataFrame) -> pd.DataFrame:
+        of = p[key].iloc[0]
         try:
-            out = job(p.drop(columns="config"), **configs[name])[columns].reset_index(drop=True)
+            out = job(p, **configs[name])[columns].reset_index(drop=True)
             out.insert(0, "error", None)
         except Exception:  # a job's failure is its result
             out = pd.DataFrame({"error": [traceback.format_exc().strip().splitlines()[-1]], **{c: [None] for c in columns}})
@@ -65,8 +64,13 @@ def run(samples: DataFrame, key: str, job: Callable[..., pd.DataFrame], configs:
         out.insert(0, "config", name)
         return out
 
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches, ignore_index=True)
+        for name in configs:
+            yield one(name, rows.copy())
+
     kind = samples.schema[key].dataType.simpleString()
-    return samples.select(names, "*").groupBy("config", key).applyInPandas(one, f"config string, `{key}` {kind}, error string, {schema}")
+    return samples.groupBy(key).applyInPandas(each, f"config string, `{key}` {kind}, error string, {schema}")
 
 
 def finished(results: DataFrame) -> DataFrame:

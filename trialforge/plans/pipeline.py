@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import traceback
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -88,11 +88,13 @@ class Pipeline:
                 status = {"stage": at, "error": traceback.format_exc().strip().splitlines()[-1]}
             return pd.concat([pd.DataFrame({"config": name, key: rows[key].iloc[0], "experiment_id": label, **told, **status}, index=out.index), out], axis=1)
 
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat([of(name, rows.copy()) for name in configs], ignore_index=True)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = pd.concat(batches, ignore_index=True)
+            for name in configs:
+                yield of(name, rows.copy())
 
         kinds = "".join(f", `{c}` {samples.schema[c].dataType.simpleString()}" for c in passdown)
-        # the configurations of a recording share one copy of its rows
+        # the configurations of a recording share one copy of its rows, and one result is held at a time
         return samples.groupBy(key).applyInPandas(run, f"config string, `{key}` {samples.schema[key].dataType.simpleString()}, experiment_id string{kinds}, stage string, error string, {self.schema}")
 
     def save(self, results: DataFrame, path: str, configs: dict[str, dict[str, dict]] | None = None, mode: str = "errorifexists") -> None:
