@@ -37,11 +37,15 @@ _MIX = "WITH c0 AS (SELECT l_suppkey, l_suppkey % 3 AS g, l_returnflag AS l, avg
 _CROSSED = ", q AS (SELECT sum(y) ** 2 / count(*) AS q FROM c), gl AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY g, l)), gg AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY g)), ll AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY l)), ss AS (SELECT sum(s * s / n) AS q, count(*) AS m FROM (SELECT sum(y) AS s, count(*) AS n FROM c GROUP BY l_suppkey)), yy AS (SELECT sum(y * y) AS q FROM c), t AS (SELECT gl.q - gg.q - ll.q + q.q AS i, yy.q - ss.q - gl.q + gg.q AS e, (gg.m - 1) * (ll.m - 1) AS d1, (ss.m - gg.m) * (ll.m - 1) AS d2 FROM q, gl, gg, ll, ss, yy)"
 
 
-@query(_MIX + _CROSSED + " SELECT source, round(ss, 4) + 0.0 AS ss, df1::BIGINT AS df1, df2::BIGINT AS df2, round((ss / df1) / (e / df2), 4) + 0.0 AS f, round(ss / (ss + e), 6) + 0.0 AS np2 FROM u UNION ALL SELECT 'interaction' AS source, round(i, 4) + 0.0 AS ss, d1::BIGINT AS df1, d2::BIGINT AS df2, round((i / d1) / (e / d2), 4) + 0.0 AS f, round(i / (i + e), 6) + 0.0 AS np2 FROM t")
+#: F tail of an even number of numerator degrees of freedom, in closed form.
+_TAIL = "pow({x}, df2 / 2) * list_sum(list_transform(range(0, df1 // 2), lambda k: exp(lgamma(df2 / 2 + k) - lgamma(df2 / 2) - lgamma(k + 1)) * pow(1 - {x}, k)))".format(x="(df2 / (df2 + df1 * (ss / df1) / (e / df2)))")
+
+
+@query(_MIX + _CROSSED + ", a AS (SELECT * FROM u UNION ALL SELECT 'interaction', i, d1, d2, e FROM t) SELECT source, round(ss, 4) + 0.0 AS ss, df1::BIGINT AS df1, df2::BIGINT AS df2, round((ss / df1) / (e / df2), 4) + 0.0 AS f, round(ss / (ss + e), 6) + 0.0 AS np2, round(" + _TAIL + ", 6) + 0.0 AS p FROM a")
 def anova_mixed(spark, d):
     rows = read(spark, d, "lineitem").withColumn("g", F.col("l_suppkey") % 3)
     a = comparison.anova_mixed(rows, "l_quantity", "g", "l_returnflag", "l_suppkey")
-    return a.select("source", r("ss", 4).alias("ss"), "df1", "df2", r("f", 4).alias("f"), r("np2").alias("np2"))
+    return a.select("source", r("ss", 4).alias("ss"), "df1", "df2", r("f", 4).alias("f"), r("np2").alias("np2"), r("p").alias("p"))
 
 
 @query(S + ", j AS (SELECT p.user_id, p.event_type, s.idx, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(s.t - p.t - 600), s.t) AS k FROM s p JOIN s ON s.user_id = p.user_id WHERE p.event_type IN ('click', 'purchase')), f AS (SELECT user_id, idx, bool_or(event_type = 'click') AS click, bool_or(event_type = 'purchase') AS purchase FROM j WHERE k = 1 GROUP BY ALL) SELECT s.event_id, coalesce(click, false) AS click, coalesce(purchase, false) AS purchase FROM s LEFT JOIN f ON s.user_id = f.user_id AND s.idx = f.idx")

@@ -533,6 +533,11 @@ def permutation_test(spark, d):
     return comparison.cluster_p(seen, null, comparison.PERMUTATIONS)
 
 
-@query()
+# two-sided p by Simpson's rule over the density of t from 0 to |t|
+_PW = _W + ", q AS (SELECT time_idx, t, df, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * abs(t) / 600 / 3 * list_sum(list_transform(range(0, 601), lambda k: CASE WHEN k IN (0, 600) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (t * k / 600) ** 2 / df, -(df + 1) / 2))) AS p FROM w), o AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM q)"
+
+
+@query(_PW + " SELECT time_idx, round(t, 6) + 0.0 AS t, round(df, 4) + 0.0 AS df, round(p, 6) + 0.0 AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) + 0.0 AS p_adj FROM o")
 def pointwise_p(spark, d):
-    return relational.bh_adjust(comparison.with_p(_welch(spark, d)).withColumn("g", F.lit(0)), ["g"], "p").select("time_idx", "t", "df", "p", "p_adj")
+    own = comparison.with_p(_welch(spark, d)).withColumn("g", F.lit(0))
+    return relational.bh_adjust(own, ["g"], "p").select("time_idx", r("t").alias("t"), r("df", 4).alias("df"), r("p").alias("p"), r("p_adj").alias("p_adj"))
