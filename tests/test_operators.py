@@ -82,3 +82,14 @@ def test_registry(spark):
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 60
+
+
+def test_artifact_amplitude_is_the_farthest_and_of_two_the_earlier(spark):
+    y = {1: [0.0, 0.0, -3.0, 3.0, 0.0, 0.0], 2: [0.0, 0.0, 2.0, -5.0, 0.0, 1.0], 3: [0.0, 0.0, None, None, 0.0, 0.0], 4: [0.0, 0.0, None, 4.0, 4.0, 0.0]}
+    s = spark.createDataFrame([(k, i, i / 10, v) for k, own in y.items() for i, v in enumerate(own)], "k int, idx int, t double, v double")
+    found = spark.createDataFrame([(k, 2, 4) for k in y] + [(9, 2, 4), (1, 30, 40)], "k int, start int, stop int")
+    got = {r.k: r for r in peaks.artifact_metrics(found, s, "k", "idx", "t", "v", 2).collect()}
+    # the buffer before ends with the first sample of the interval
+    assert {k: (r.before, r.amplitude) for k, r in got.items()} == {1: (-1.5, 4.5), 2: (1.0, -6.0), 3: (0.0, None), 4: (0.0, 4.0)}
+    level = s.withColumn("v", F.when((s.k == 1) & (s.idx < 3), s.idx - 1.0).otherwise(s.v))  # 0 and 1 before, then 0: both half a unit from the level
+    assert peaks.artifact_metrics(found.where("k = 1 and start = 2"), level.withColumn("v", F.when(F.col("idx") == 3, F.lit(0.0)).otherwise(F.col("v"))), "k", "idx", "t", "v", 2).first().amplitude == 0.5

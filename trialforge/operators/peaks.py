@@ -82,14 +82,17 @@ def artifact_metrics(found: DataFrame, samples: DataFrame, key: str, idx: str, t
     wide = found.withColumn("_lo", F.col("start") - buffer + 1).withColumn("_hi", F.col("stop") + buffer - 1)
     near = interval_join(wide, s, key, "_lo", "_hi", "_i", float(4 * buffer + 64), "inner").drop("_lo", "_hi")
     by = [key, "start", "stop"]
-    before = near.groupBy(*by).agg(
+    inside = (F.col("_i") >= F.col("start")) & (F.col("_i") < F.col("stop"))
+    known = inside & F.col("_v").isNotNull()
+    got = near.groupBy(*by).agg(
         F.median(F.when(F.col("_i") <= F.col("start"), F.col("_v"))).alias("before"), F.median(F.when(F.col("_i") >= F.col("stop"), F.col("_v"))).alias("after"),
         F.max(F.when(F.col("_i") == F.col("start"), F.col("_t"))).alias("start_time"), F.max(F.when(F.col("_i") <= F.col("stop"), F.col("_t"))).alias("stop_time"),
-    )
-    inside = near.where((F.col("_i") >= F.col("start")) & (F.col("_i") < F.col("stop"))).join(before, by)
-    d = F.col("_v") - F.col("before")
-    amp = inside.groupBy(*by).agg(F.max_by(d, F.struct(F.abs(d), -F.col("_i"))).alias("amplitude"))
-    return before.join(amp, by).select(*by, "start_time", "stop_time", "before", "after", (F.col("after") - F.col("before")).alias("baseline_change"), "amplitude", (F.col("stop_time") - F.col("start_time")).alias("duration"))
+        F.max(F.when(known, F.struct(F.col("_v").alias("v"), (-F.col("_i")).alias("i")))).alias("_high"), F.min(F.when(known, F.struct(F.col("_v").alias("v"), F.col("_i").alias("i")))).alias("_low"), F.count(F.when(inside, 1)).alias("_n"),
+    ).where("_n > 0")
+    # the farthest sample is the highest or the lowest one, of two equally far the earlier
+    up, down = F.col("_high.v") - F.col("before"), F.col("_low.v") - F.col("before")
+    first_up = (F.abs(up) > F.abs(down)) | ((F.abs(up) == F.abs(down)) & (-F.col("_high.i") <= F.col("_low.i")))
+    return got.select(*by, "start_time", "stop_time", "before", "after", (F.col("after") - F.col("before")).alias("baseline_change"), F.when(first_up, up).otherwise(down).alias("amplitude"), (F.col("stop_time") - F.col("start_time")).alias("duration"))
 
 
 def artifact_score(found: DataFrame, key: str) -> DataFrame:
