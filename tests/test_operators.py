@@ -1,8 +1,12 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trialforge.functions import vec
 from trialforge.operators import peaks, recording, relational, trials, windowing
+from trialforge.plans.queries import r
 
 
 def rows(df, *cols):
@@ -93,3 +97,22 @@ def test_artifact_amplitude_is_the_farthest_and_of_two_the_earlier(spark):
     assert {k: (r.before, r.amplitude) for k, r in got.items()} == {1: (-1.5, 4.5), 2: (1.0, -6.0), 3: (0.0, None), 4: (0.0, 4.0)}
     level = s.withColumn("v", F.when((s.k == 1) & (s.idx < 3), s.idx - 1.0).otherwise(s.v))  # 0 and 1 before, then 0: both half a unit from the level
     assert peaks.artifact_metrics(found.where("k = 1 and start = 2"), level.withColumn("v", F.when(F.col("idx") == 3, F.lit(0.0)).otherwise(F.col("v"))), "k", "idx", "t", "v", 2).first().amplitude == 0.5
+
+
+def test_artifact_types_equal_their_sql_to_the_last_bit(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as e
+
+    own, to = "/root/testdata/sf0.1/events.parquet", f"{tmp_path}/events.parquet"
+    # a recording whose chunks differ in the last bit only, one where most differences are 0, and a constant
+    long = f"SELECT event_id + 100000 * k AS event_id, ts + k * INTERVAL 30 DAY AS ts, user_id, event_type, value, props FROM '{own}', range(12) r(k) WHERE user_id = 105"
+    flat = f"SELECT event_id + 100000 * k AS event_id, ts, user_id, event_type, CASE WHEN user_id = 107 THEN 5.0 ELSE value END AS value, props FROM '{own}', range(4) r(k) WHERE user_id IN (106, 107)"
+    duckdb.sql(f"COPY ({long} UNION ALL {flat}) TO '{to}' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{to}'")
+    for name in ("artifact_types", "mad_score"):
+        want = Counter(map(repr, con.sql(e.oracle_sql()[name]).fetchall()))
+        assert Counter(repr(tuple(r)) for r in e.queries()[name](spark, str(tmp_path)).collect()) == want and len(want) > 20
+    x = np.random.default_rng(1).integers(-500_000, 500_000, 20_000) / 10_000 + 0.00005
+    want = [v for (v,) in con.sql("SELECT round(x, 4) + 0.0 FROM (SELECT unnest($1::DOUBLE[]) AS x)", params=[x.tolist()]).fetchall()]
+    assert [v for (v,) in spark.createDataFrame([(float(v),) for v in x], "x double").select(r("x", 4)).collect()] == want

@@ -50,7 +50,8 @@ def detect(samples: DataFrame, key: str, idx: str, t: str, value: str, reference
     told = artifact_metrics(found, samples, key, idx, t, value, buffer)
     size = samples.groupBy(key).agg(F.ceil(F.count("*") / chunks).alias("_size"))
     chunked = own.select(key, idx, "diff").join(size, key).withColumn("_chunk", F.least(F.floor(F.col(idx) / F.col("_size")), F.lit(chunks - 1)))
-    local = mad_scores(chunked, [key, "_chunk"], "diff").groupBy(key, "_chunk").agg(F.first("med").alias("_med"), (F.first("mad") / 1.4826).alias("_mad"))
+    # not scaled and divided again: the last bit of a deviation decides whether there is spread
+    local = mad_scores(chunked, [key, "_chunk"], "diff", 1.0).groupBy(key, "_chunk").agg(F.first("med").alias("_med"), F.first("mad").alias("_mad"))
     placed = told.join(size, key).withColumn("_chunk", F.least(F.floor(F.floor((F.col("start") + F.col("stop")) / 2) / F.col("_size")), F.lit(chunks - 1)))
     placed = placed.join(local, [key, "_chunk"], "left")
     middle = placed.groupBy(key).agg(F.median("_mad").alias("_m2"))

@@ -48,8 +48,9 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r(c: str | Column, n: int = 6) -> Column:
+    """As the SQL rounds: the double times 10^n, halves away from zero (Spark's ``round`` goes by the decimal text, which differs near a half)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, n) + F.lit(0.0)
+    return F.round(c * F.lit(10.0**n)) / F.lit(10.0**n) + F.lit(0.0)
 
 
 # SQL of the shared inputs
