@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from trialforge.kernels import special
 from trialforge.operators import comparison, peaks, recording, relational
 
@@ -29,6 +30,16 @@ def test_spearman_drops_incomplete_pairs(spark):
     assert (r.rho, r.n) == (pytest.approx(1.0), 3)
 
 
+def test_spearman_deals_groups_to_tasks_by_rows(spark):
+    df = spark.range(4000).select((F.col("id") % 40).alias("g"), (F.col("id") * 7 % 13).alias("x"), (F.col("id") * 11 % 17).alias("y"))
+    many = recording.spearman(df, ["g"], "x", "y", recording.tasks_for(df, 500))
+    assert many.rdd.getNumPartitions() == 9  # small shuffles are joined to fewer otherwise
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, recording.spearman(df, ["g"], "x", "y").collect()))
+    assert recording.tasks_for(df.limit(0)) == 1
+    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    assert __spark_entry__.queries()["spearman_by_group"](spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == recording.tasks_for(lines) == 3
+
+
 def test_welch_counts_known_values(spark):
     a = np.array([[1.0, 2], [2, 3], [np.nan, 4], [3, 5]])
     b = np.array([[5.0, 1], [6, 2], [7, 3], [np.nan, 4]])

@@ -157,7 +157,8 @@ def rolling_interior(spark, d):
 rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1) / 2 AS y FROM lineitem)
 SELECT l_suppkey, round(corr(x, y), 6) + 0.0 AS rho, count(*) AS n FROM a GROUP BY l_suppkey""")
 def spearman_by_group(spark, d):
-    return recording.spearman(read(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice").select("l_suppkey", r("rho").alias("rho"), "n")
+    rows = read(spark, d, "lineitem")
+    return recording.spearman(rows, ["l_suppkey"], "l_quantity", "l_extendedprice", recording.tasks_for(rows)).select("l_suppkey", r("rho").alias("rho"), "n")
 
 
 _TRACES = ["l_quantity", "l_extendedprice", "l_discount"]
