@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialforge import simulation
-from trialforge.kernels import special
+from trialforge.kernels import signal, special
 from trialforge.operators import artifacts, extraction, peaks, pointwise, trialset
 from trialforge.plans import pipeline
 
@@ -76,6 +76,33 @@ def test_artifacts_are_labelled_and_mended(spark):
     assert artifacts.detect(s.withColumn("r", -F.col("v")), "k", "i", "t", "v", "r", expand=(5, 5), buffer=20, chunks=20).count() == 0
 
 
+def test_one_call_corrects_many_recordings(spark):
+    rng = np.random.default_rng(2)
+    y = {k: np.round(rng.uniform(0, 9, n), 2) for k, n in [(None, 25), (1, 1), (2, 40), (3, 12), (4, 7), (5, 30)]}
+    told = {None: [(3, 5, "spike"), (9, 11, "jump")], 2: [(0, 2, "jump"), (8, 9, "spike"), (20, 24, "jump"), (38, 40, "jump")], 4: [(2, 4, None), (5, 6, "spike")], 5: [(1, 2, "jump"), (10, 13, "jump")], 9: [(1, 2, "spike")]}
+    want = {}
+    for k, v in y.items():  # on whole signals
+        for a, b, _ in [x for x in told.get(k, []) if x[2] == "spike"]:
+            v = signal.fill(v, np.arange(len(v)) / 2, a, b, 4, 4)
+        drift, jumps = np.zeros(len(v)), [x for x in told.get(k, []) if x[2] == "jump"]
+        for a, b, _ in jumps:
+            if len(v[b : b + 5]):
+                drift[b:] += np.median(v[b : b + 5]) - np.median(v[max(0, a - 4) : a + 1])
+        v = v - drift
+        for a, b, _ in jumps:
+            v = signal.fill(v, np.arange(len(v)) / 2, a, b, 4, 4)
+        want |= {(k, i, i / 2): x for i, x in enumerate(v.tolist())}
+    s = spark.createDataFrame([(k, i, i / 2, float(x)) for k, v in y.items() for i, x in enumerate(v)], "k long, i long, t double, v double").orderBy(F.rand(3))
+    found = spark.createDataFrame([(k, *x) for k, own in told.items() for x in own], "k long, start long, stop long, type string").orderBy(F.rand(4))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for rows in ("7", "10000"):  # recordings over several batches, and several in one
+        spark.conf.set(size, rows)
+        got = artifacts.correct(s, found, "k", "i", "t", "v", buffer=5)
+        assert {(r.k, r.i, r.t): r.corrected for r in got.collect()} == want and got.count() == len(want)
+    spark.conf.unset(size)
+    assert "CoGroups" not in got._jdf.queryExecution().toString()  # one call for each recording
+
+
 def test_trial_sets(spark):
     own = trialset.from_arrays(spark, [{"g": "u"}, {"g": "u"}, {"g": None}], [[1, 2, 3, 4], [3, 4, 5, 6], [0, 0, 0, 0]], [0.0, 0.5, 1.0, 1.5], {"e": [[1] * 4, [2] * 4, [3] * 4]}, {"a": 1, "b": 2})
     assert own.frequency == 2.0 and own.layer("e").columns == ["trial_ord", "g", "x"]

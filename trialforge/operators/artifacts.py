@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +56,11 @@ def detect(samples: DataFrame, key: str, idx: str, t: str, value: str, reference
     local = mad_scores(chunked, [key, "_chunk"], "diff", 1.0).groupBy(key, "_chunk").agg(F.first("med").alias("_med"), F.first("mad").alias("_mad"))
     placed = told.join(size, key).withColumn("_chunk", F.least(F.floor(F.floor((F.col("start") + F.col("stop")) / 2) / F.col("_size")), F.lit(chunks - 1)))
     placed = placed.join(local, [key, "_chunk"], "left")
-    middle = placed.groupBy(key).agg(F.median("_mad").alias("_m2"))
-    spread = placed.join(middle, key).groupBy(key).agg(F.median(F.abs(F.col("_mad") - F.col("_m2"))).alias("_spread"))
+    # over the intervals of a recording, so that they are found once
+    own_intervals = Window.partitionBy(key)
+    placed = placed.withColumn("_m2", F.median("_mad").over(own_intervals)).withColumn("_spread", F.median(F.abs(F.col("_mad") - F.col("_m2"))).over(own_intervals)).drop("_m2")
     far = QUARTILE * (F.col("baseline_change") / (F.col("stop") - F.col("start")) - F.col("_med"))
-    placed = placed.join(spread, key).withColumn("_far", far)
+    placed = placed.withColumn("_far", far)
     beyond = F.when(F.col("_far") > 0, F.lit(float("inf"))).when(F.col("_far") < 0, F.lit(float("-inf")))
     placed = placed.withColumn("jump_score", F.when(F.col("_spread") > 0, F.col("_far") / F.col("_spread")).otherwise(beyond))
     kind = F.when(F.abs("jump_score") >= jump_score, "jump").when(F.col("jump_score").isNotNull(), "spike")
@@ -91,38 +94,90 @@ def flagged(samples: DataFrame, found: DataFrame, key: str, idx: str, name: str
 
 def corrected_signal(y: np.ndarray, t: np.ndarray, found: pd.DataFrame, anchors: tuple[int, int], buffer: int, spikes: bool = True, jumps: bool = True) -> np.ndarray:
     """One recording: spikes are filled by a monotone cubic; the levels across jumps, measured after that, are taken off from each jump's end on, and the jumps are filled."""
-    y, found = np.array(y, float), found.sort_values("start")
+    found = found.sort_values("start")
+    return _mended(y, t, found["start"].tolist(), found["stop"].tolist(), found["type"].tolist(), anchors, buffer, spikes, jumps)
+
+
+def _mended(y: np.ndarray, t: np.ndarray, start: list, stop: list, kind: list, anchors: tuple[int, int], buffer: int, spikes: bool, jumps: bool) -> np.ndarray:
+    """As ``corrected_signal``, from intervals in order of their start; the time is that of the samples and of the intervals' surroundings."""
+    y = np.array(y, float)
     n = len(y)
 
-    def filled(y: np.ndarray, some: pd.DataFrame) -> np.ndarray:
-        for a, b in some[["start", "stop"]].itertuples(index=False):
-            y = kernels.fill(y, t, int(a), int(b), *anchors)
-        return y
+    def fill(some: list[tuple[int, int]]) -> None:
+        for a, b in some:
+            low, high = max(0, a - anchors[0]), min(n, b + anchors[1])
+            y[low:high] = kernels.fill(y[low:high], t[low:high], a - low, b - low, *anchors)
 
+    of = lambda name: [(int(a), int(b)) for a, b, k in zip(start, stop, kind, strict=True) if k == name]
     if spikes:
-        y = filled(y, found[found["type"] == "spike"])
-    own = found[found["type"] == "jump"]
-    if jumps and len(own):
+        fill(of("spike"))
+    own = of("jump")
+    if jumps and own:
         drift = np.zeros(n)
-        for a, b in own[["start", "stop"]].itertuples(index=False):
-            before, after = y[max(0, int(a) - buffer + 1) : int(a) + 1], y[int(b) : int(b) + buffer]
+        for a, b in own:
+            before, after = y[max(0, a - buffer + 1) : a + 1], y[b : b + buffer]
             if len(before) and len(after):
-                drift[int(b) :] += np.median(after) - np.median(before)
-        y = filled(y - drift, own)
+                drift[b] += np.median(after) - np.median(before)
+        y -= np.cumsum(drift)
+        fill(own)
     return y
 
 
 def correct(samples: DataFrame, found: DataFrame, key: str, idx: str, t: str, value: str, anchors: tuple[int, int] = (4, 4), buffer: int = 100, spikes: bool = True, jumps: bool = True, name: str = "corrected") -> DataFrame:
-    """``key, idx, t, <name>``: every sample, those of artifacts replaced."""
+    """``key, idx, t, <name>``: every sample, those of artifacts replaced.
 
-    def run(_key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(idx)
-        return pd.DataFrame({key: p[key], idx: p[idx], t: p[t], name: corrected_signal(p[value].to_numpy(float), p[t].to_numpy(float), q, anchors, buffer, spikes, jumps)})
+    Intervals and samples go to the workers as one sorted stream, intervals of
+    a recording first, so that a call to Python serves many recordings; of a
+    recording that is not at its end a worker keeps the rows read so far.
+    """
+    kinds = {c: samples.schema[c].dataType.simpleString() for c in (key, idx, t)}
+    a = samples.select(F.col(key).alias("key"), F.lit(1).alias("row"), F.col(idx).alias("at"), F.col(t).alias("t"), F.col(value).cast("double").alias("y"), F.lit(None).cast("long").alias("stop"), F.lit(None).cast("string").alias("type"))
+    b = found.where("type is not null").select(F.col(key).cast(kinds[key]).alias("key"), F.lit(0).alias("row"), F.col("start").cast(kinds[idx]).alias("at"), F.lit(None).cast(kinds[t]).alias("t"), F.lit(None).cast("double").alias("y"), F.col("stop").cast("long").alias("stop"), "type")
+
+    def floats(c) -> np.ndarray:
+        return c.to_numpy(zero_copy_only=False).astype(float)
+
+    def changes(c) -> np.ndarray:
+        """Whether a key differs from the one before."""
+        x, z = c[:-1], c[1:]
+        same = pc.or_(pc.fill_null(pc.equal(x, z), False), pc.and_(pc.is_null(x), pc.is_null(z)))
+        return ~same.to_numpy(zero_copy_only=False)
+
+    def whole(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Of whole recordings."""
+        p = pa.Table.from_batches(some).combine_chunks()
+        c = {k: p[k].combine_chunks() for k in p.column_names}
+        c = {k: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for k, v in c.items()}
+        is_sample = c["row"].to_numpy(zero_copy_only=False) == 1
+        at, stop, y, time = c["at"].to_numpy(zero_copy_only=False), c["stop"].to_numpy(zero_copy_only=False), floats(c["y"]), floats(c["t"])
+        first = np.concatenate([[0], np.flatnonzero(changes(c["key"])) + 1, [len(p)]])
+        n_found = np.diff(np.concatenate([[0], np.cumsum(~is_sample)])[first])
+        kind = c["type"].to_pylist() if n_found.any() else []
+        for g in np.flatnonzero(n_found):
+            low, mid, high = int(first[g]), int(first[g] + n_found[g]), int(first[g + 1])
+            y[mid:high] = _mended(y[mid:high], time[mid:high], at[low:mid].tolist(), stop[low:mid].tolist(), kind[low:mid], anchors, buffer, spikes, jumps)
+        keep = pa.array(is_sample)
+        return pa.RecordBatch.from_arrays([c["key"].filter(keep), c["at"].filter(keep), c["t"].filter(keep), pa.array(y[is_sample])], names=[key, idx, t, name])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for p in batches:
+            if not p.num_rows:
+                continue
+            of = p.column(p.schema.get_field_index("key"))
+            last = pa.concat_arrays([held[-1].column(p.schema.get_field_index("key"))[-1:], of]) if held else of
+            cut = np.flatnonzero(changes(last)) + (0 if held else 1)
+            if len(cut):
+                done = [*held, p.slice(0, int(cut[-1]))]
+                held = []
+                yield whole(done)
+            held.append(p.slice(int(cut[-1])) if len(cut) else p)
+        if held:
+            yield whole(held)
 
-    own = samples.select(key, idx, t, value)
-    kinds = {c: own.schema[c].dataType.simpleString() for c in (key, idx, t)}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", `{name}` double"
-    return own.groupBy(key).cogroup(found.select(F.col(key).alias("_of"), "start", "stop", "type").groupBy("_of")).applyInPandas(run, schema)
+    # by a hash of the key: Spark leaves out a shuffle by the key that both sides of the union have gone through, but joins their partitions each in its own way
+    return a.unionByName(b).repartition(F.xxhash64("key")).sortWithinPartitions("key", "row", F.col("at").asc_nulls_last()).mapInArrow(run, schema)
 
 
 def preprocessed(samples: DataFrame, key: str, t: str, raw: str, reference: str | None = None, detector: Callable[[DataFrame], DataFrame] | None = None, corrector: Callable[[DataFrame, DataFrame], DataFrame] | None = None, **options) -> tuple[DataFrame, DataFrame | None]:
